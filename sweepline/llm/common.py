@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage. The session names it; only a local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="sweepline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sweepline-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
