@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,3 +42,16 @@ def text_of(column: str = "text") -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> SparkSession:
+    """Hold the Arrow batches of Python operators on whole texts to so many rows and bytes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
+def extended(schema: T.StructType, **kinds: str) -> T.StructType:
+    """The schema with further fields, given by name and type."""
+    return T.StructType([*schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items())])

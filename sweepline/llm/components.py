@@ -25,6 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.withColumnRenamed("m", "v")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Equal for equal edge sets."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
@@ -41,12 +46,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, path = written(now, "cc-edges")
     if not now.take(1):
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    seen = None
+    seen = _mark(now)
     for _ in range(max_rounds):
         following, new_path = written(_small_star(_large_star(now)), "cc-edges")
-        mark = following.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
+        mark = _mark(following)
         discard(spark, path)
         now, path = following, new_path
         if mark == seen:
