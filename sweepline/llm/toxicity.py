@@ -191,20 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
     return Model(words, stems, logistic_fit(x, y), p)
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with ``score`` of each text."""
+def score_documents(docs: DataFrame, model: Model | None, output: str = "score") -> DataFrame:
+    """docs with the score of each text as column ``output``, in place of one that has its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             scores = [model.score(t or "") if model else 0.0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, output])
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, extended(rows.schema, score="double"))
+    return rows.mapInArrow(run, extended(rows.schema, **{output: "double"}))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:

@@ -224,7 +224,7 @@ def test_url_aliases(spark):
     extra = spark.createDataFrame([("http://c.org/y", "http://x.net/es/z")], "url string, target string")
     found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, edges=extra).collect()}
     assert found[3] == ("example.com/en/", "block")
-    assert found[1] == found[2] == (None, "allow")  # the alias differs from page 3 in its host's case
+    assert found[1] == found[2] == (None, "block")  # their alias fits the rule, too
     assert found[4] == found[5] == (None, "allow")  # an allowed member outweighs a blocked one
     assert found[6] == found[10] == (None, "block") and found[9] == ("net/es/", "block")
     assert found[7] == found[8] == (None, "allow")
@@ -236,6 +236,7 @@ def test_pipeline_stages(spark):
     wide = docs.withColumns({"slot": F.lit(1), "score": F.lit(2), "kept": F.lit(3)}).unionByName(docs.limit(3), True)
     clean = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert clean.columns == docs.columns and 0 < clean.count() <= docs.count()
+    assert corpus_pipeline.drop_toxic(spark, wide, SF).columns == wide.columns
     single = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     by_hand = components_by_hand({r["doc_id"]: r["text"] for r in docs.collect()}, P.percent)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i, (_, c) in by_hand.items() if i == c)
