@@ -15,7 +15,8 @@ from sweepline.session import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the model, fitted on the labels, does not predict toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).where("score < 0.5").drop("score")
+    name = "score" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    return toxicity.score_documents(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture over the files and inside each."""
     order = mixing.mix(docs).select("doc_id", "slot", "place").where("doc_id is not null").dropDuplicates(["doc_id"])
-    placed, _ = written(docs.join(order, "doc_id", "left"), "mix-placed")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    placed, _ = written(rows.join(order, "doc_id", "left"), "mix-placed")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select(docs.columns)
+    return placed.repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
