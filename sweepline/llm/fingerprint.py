@@ -126,6 +126,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 F.substr("text", F.lit(1), F.col("wanted").cast("int")).alias("head"),
                 F.xxhash64("text").alias("h"),
                 vector(F.col("text")).alias("next_vector"),
+                "doc_id",  # so that both joins read one shuffle of the texts
             ).alias("following"),
         )
         .groupBy("key")
