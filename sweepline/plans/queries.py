@@ -264,13 +264,14 @@ def polar_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select c_custkey, radians((c_custkey % 170)::double) a, (c_custkey % 11) / 10.0 u from customer)
- select c_custkey, round(sin(a * u / 2), 6) qz, round(cos(a * u / 2), 6) qw, round(degrees(a), 6) turn from p""")
+ select c_custkey, round(sin(a * u / 2), 6) qz, round(cos(a * u / 2), 6) qw, round(degrees(a), 6) turn from p where c_custkey % 170 >= 10""")
 def quaternion_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, u = F.radians((F.col("c_custkey") % 170).cast("double")), F.col("c_custkey") % 11 / 10.0
     zero = F.lit(0.0)
     start, end = (zero, zero, zero, F.lit(1.0)), (zero, zero, F.sin(a / 2), F.cos(a / 2))
     q = geometry.slerp(start, end, u)
-    return table(spark, sf_dir, "customer").select("c_custkey", r(q[2]).alias("qz"), r(q[3]).alias("qw"), r(geometry.turn_degrees(start, end)).alias("turn"))
+    wide = table(spark, sf_dir, "customer").where("c_custkey % 170 >= 10")  # narrower turns take a straight line
+    return wide.select("c_custkey", r(q[2]).alias("qz"), r(q[3]).alias("qw"), r(geometry.turn_degrees(start, end)).alias("turn"))
 
 
 # ---- geodesy and NMEA ----------------------------------------------------------------------------------------

@@ -44,7 +44,8 @@ def decode_poses(chunks: DataFrame) -> DataFrame:
     return chunks.select("session", "seq", "payload").mapInArrow(run, f"session string, seq long, {kinds}")
 
 
-HEADER = struct.Struct("<BHHHHBQ")
+HEADER = "<BHHHHBQ"
+HEADER_SIZE = struct.calcsize(HEADER)
 POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("reflectivity", "u1"), ("tag", "u1")])
 
 
@@ -59,12 +60,12 @@ def decode_datagrams(datagrams: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for s, n, p in zip(*(b.column(c).to_pylist() for c in ("session", "seq", "payload")), strict=True):
-                if not p or len(p) < HEADER.size:
+                if not p or len(p) < HEADER_SIZE:
                     continue
-                _, length, counter, dots, _, _, t = HEADER.unpack_from(p)
-                if length != len(p) or len(p) != HEADER.size + dots * POINT.itemsize:
+                _, length, counter, dots, _, _, t = struct.unpack_from(HEADER, p)
+                if length != len(p) or len(p) != HEADER_SIZE + dots * POINT.itemsize:
                     continue
-                points = np.frombuffer(p, dtype=POINT, offset=HEADER.size)
+                points = np.frombuffer(p, dtype=POINT, offset=HEADER_SIZE)
                 out.append((np.full(dots, n), np.full(dots, counter), np.full(dots, t), np.arange(dots), points, [s] * dots))
             if out:
                 points = np.concatenate([o[4] for o in out])

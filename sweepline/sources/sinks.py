@@ -70,10 +70,10 @@ def las_rows(points: DataFrame, scale: float, offsets: tuple[float, float, float
 
 def las_parts(points: DataFrame, scale: float, offsets: tuple[float, float, float], order: list[str]) -> DataFrame:
     """Point rows of format 7 (x, y, z, intensity, time, colour)."""
-    row = struct.Struct("<iiiHBBBBhHdHHH")
+    row = "<iiiHBBBBhHdHHH"
 
     def pack(x, y, z, t, r, g, b) -> bytes:
-        return b"".join(row.pack(a, o, c, 0, 0x11, 0, 0, 0, 0, 0, w, u * 257, v * 257, q * 257) for a, o, c, w, u, v, q in zip(x, y, z, t, r, g, b, strict=True))
+        return b"".join(struct.pack(row, a, o, c, 0, 0x11, 0, 0, 0, 0, 0, w, u * 257, v * 257, q * 257) for a, o, c, w, u, v, q in zip(x, y, z, t, r, g, b, strict=True))
 
     return _parts(las_rows(points, scale, offsets), ["qx", "qy", "qz", "t", "r", "g", "b"], pack, order)
 

@@ -29,15 +29,15 @@ def test_poses_and_datagrams(spark):
     assert [(r["seq"], r["t"], r["px"], r["qw"]) for r in found] == [(0, 7, 1.5, 1.0), (1, 7, 1.5, 1.0)]
     points = np.zeros(3, dtype=packets.POINT)
     points["x"], points["tag"] = [0, 1000, 2000], [0, 0, 1]
-    size = packets.HEADER.size + points.nbytes
-    good = packets.HEADER.pack(0, size, 9, 3, 0, 1, 50) + points.tobytes()
+    size = packets.HEADER_SIZE + points.nbytes
+    good = struct.pack(packets.HEADER, 0, size, 9, 3, 0, 1, 50) + points.tobytes()
     data = spark.createDataFrame([("s", 4, good), ("s", 5, good[:-1]), ("s", 6, b"")], "session string, seq long, payload binary")
     found = packets.decode_datagrams(data).withColumn("why", packets.reject_reason()).orderBy("i").collect()
     assert [(r["seq"], r["counter"], r["x"], r["why"]) for r in found] == [(4, 9, 0.0, "no_return"), (4, 9, 1.0, None), (4, 9, 2.0, "tag")]
 
 
 def test_point_files(spark):
-    rows = [(i, i * 0.5, -i * 1.0, 0.25, i, i, 255 - i, 7) for i in range(100)]
+    rows = [(i, i * 0.5, -i * 1.0, 0.25, float(i), i, 255 - i, 7) for i in range(100)]
     points = spark.createDataFrame(rows, "id long, x double, y double, z double, t double, r int, g int, b int").repartition(3)
     parts = sinks.ply_parts(points, ["id"]).collect()
     body = np.frombuffer(b"".join(bytes(p["body"]) for p in parts), dtype=sinks.PLY_ROW)
