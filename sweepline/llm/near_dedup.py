@@ -5,11 +5,13 @@ each. The signature distance of two documents is the number of unequal minima, w
 Jaccard similarity J. With M chunks and at most D unequal minima, some chunk has at most D // M (pigeonhole),
 so each chunk is looked up with every choice of that many of its minima left out: documents within distance
 D of each other always share such a key. D is set so that a pair at the link threshold stays within it but
-for about one time in 10^5. Links are confirmed on the full sets.
+for about one time in 10^5. Members of a bucket are then compared, inside the join that brings them together,
+by their sizes and by longer signatures of one bit a minimum, whose distance has such a threshold too; so
+only pairs that are close to the link threshold come out. Links are confirmed on the full sets.
 
 Large groups of copies are not expanded into pairs. Equal word sequences are one class. In a bucket, members
-are first confirmed against a representative, which several rounds choose anew; then only members of a
-bucket that are still in different components are compared with each other, so no link between components
+are first confirmed against representatives, which rounds choose anew; then only members of a bucket that are
+still in different components are compared with each other, so no link between components
 is lost. Keys of one document only leave before any pair is made.
 
 Defined results: a null text is empty; a document without words has an empty set, component itself, and is
@@ -40,7 +42,12 @@ class Parameters:
     minima: int = 96
     chunks: int = 16
     distance: int = 31
-    star_rounds: int = 2
+    #: rounds against representatives, and with how many of them a node is confirmed in each
+    star_rounds: int = 4
+    partners: int = 4
+    #: one-bit minima, in words of 64, that members of a shared bucket are compared by, and the most unequal ones
+    words_of_bits: int = 16
+    unequal_bits: int = 116
     seed: int = 20_26
 
     @property
@@ -178,60 +185,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Parameters) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def unequal_minima(x: str, y: str, p: Parameters) -> Column:
-    """The signature distance of two binary columns."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(p.minima - 1)),
-        F.lit(0),
-        lambda n, i: n
-        + F.when(F.substr(x, i * 2 + 1, F.lit(2)) == F.substr(y, i * 2 + 1, F.lit(2)), 0).otherwise(1),
-    )
+def one_bit_signature(shingles: np.ndarray, words: int, seed: int) -> np.ndarray:
+    """One bit of the minimum of each of 64 * words hash functions."""
+    factors = _odd(seed, 64 * words)
+    least = np.full(64 * words, np.iinfo(_U).max, dtype=_U)
+    for at in range(0, len(shingles), 64):
+        np.minimum(least, (shingles[at : at + 64, None] * factors).min(axis=0), out=least)
+    return np.packbits(_mixed(least) & _U(1), bitorder="little").view("<i8")
+
+
+def bit_columns(p: Parameters) -> list[str]:
+    return [f"b{i}" for i in range(p.words_of_bits)]
+
+
+def with_bits(nodes: DataFrame, p: Parameters) -> DataFrame:
+    """nodes (node, text) with set size n and the words of the one-bit signature."""
+    bounded_batches(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.translate(LOWER), p.words)[0] for t in b.column("text").cast(pa.binary()).to_pylist()]
+            bits = np.array([one_bit_signature(x, p.words_of_bits, p.seed + 1) for x in sets]).reshape(-1, p.words_of_bits)
+            arrays = [b.column("node"), b.column("text"), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, bits.T.copy())], ["node", "text", "n", *bit_columns(p)])
+
+    kinds = ", ".join(f"{c} long" for c in bit_columns(p))
+    return nodes.select("node", "text").mapInArrow(run, f"node long, text string, n long, {kinds}")
+
+
+def close_enough(p: Parameters) -> Column:
+    """Whether the sizes and one-bit signatures of x.* and y.* allow a link."""
+    unequal = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bit_columns(p)), F.lit(0))
+    sizes = 100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n")
+    return sizes & (unequal <= p.unequal_bits)
 
 
 def near_links(members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame:
     """(a, b) links that connect all that the pairs sharing a key connect.
 
-    members: (node, key) of keys that several nodes share; nodes: (node, text, signature), one row a node.
+    members: (node, key) of keys that several nodes share; nodes: (node, text, n, bits), one row a node.
     """
     spark = members.sparkSession
     known = spark.createDataFrame([], "a long, b long")
     old: list[str] = []
-    signatures = nodes.select("node", "signature")
+    looks = ["n", *bit_columns(p)]
     for round_no in range(p.star_rounds + 1):
         component = connected_components(known)
         at = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        turn = F.xxhash64("node", F.lit(round_no)).alias("h")
+        turn = F.xxhash64("node", "key", F.lit(round_no)).alias("h")  # each bucket has its own order
         mixed = (
             at.groupBy("key")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.min(F.struct(turn, "node", "component")).alias("r"),
-            )
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn, "node", "component")).alias("r"))
             .where("low <> high")
+            .select("key", "r")
         )
         mixed, mixed_at = written(mixed, "near-mixed")
         old.append(mixed_at)
         if mixed.isEmpty():
             break
-        a = at.select("key", F.col("node").alias("a"), "component")
+        bits = nodes.select("node", *looks)
+        x = at.join(mixed.select("key"), "key", "left_semi").join(bits, "node").alias("x")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
         if round_no < p.star_rounds:  # each against the bucket's representative
-            b = mixed.select("key", F.col("r.node").alias("b"), F.col("r.component").alias("cb"))
-            pairs = a.join(b, "key").where("component <> cb")
+            y = mixed.select("key", F.col("r.node").alias("node"), F.col("r.component").alias("component")).join(bits, "node").alias("y")
         else:  # those of a bucket that are in different components yet, each against each
-            rest = a.join(mixed.select("key"), "key", "left_semi")
-            b = rest.select("key", F.col("a").alias("b"), F.col("component").alias("cb"))
-            pairs = rest.join(b, "key").where("a < b and component <> cb")
-        close = (
-            pairs.select("a", "b")
-            .distinct()
-            .join(signatures.toDF("a", "sa"), "a")
-            .join(signatures.toDF("b", "sb"), "b")
-            .where(unequal_minima("sa", "sb", p) <= p.distance)
-            .select("a", "b")
-        )
-        if round_no < p.star_rounds:  # one partner for each node in this round
-            close = close.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(round_no)), "b"))["b"].alias("b"))
+            y = x.alias("y")
+            apart = apart & (F.col("x.node") < F.col("y.node"))
+        pairs = x.join(y, apart & close_enough(p))
+        close = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        if round_no < p.star_rounds:
+            some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(round_no)), "b"))), 1, p.partners)
+            close = close.groupBy("a").agg(F.transform(some, lambda c: c["b"]).alias("b")).select("a", F.explode("b").alias("b"))
         found, path = written(known.unionByName(confirmed(close, nodes, p)), "near-links")
         known = found
         old.append(path)
@@ -254,13 +278,9 @@ def near_duplicates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     keys = bucket_keys(classes, p)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members, members_at = written(keys.join(shared, "key").distinct(), "near-members")
-    wanted = members.select("node").distinct().join(classes, "node")
-    nodes = (
-        docs.join(wanted, docs["doc_id"] == wanted["node"])
-        .groupBy("node")
-        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("signature").alias("signature"))
-    )
-    nodes, nodes_at = written(nodes, "near-nodes")
+    wanted = members.select("node").distinct()
+    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    nodes, nodes_at = written(with_bits(texts, p), "near-nodes")
     links = near_links(members, nodes, p)
     # rows that repeat a doc_id with other words are one document: they link their classes
     repeated = (
