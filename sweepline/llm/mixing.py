@@ -75,11 +75,9 @@ def frame_kinds(sizes: DataFrame, p: Parameters) -> DataFrame:
     ends = sized.select(
         F.explode(F.array(F.lit(0).cast("long"), F.floor(F.expr("blocks / share")), F.ceil(F.expr("blocks / share")))).alias("first")
     ).distinct()
-    last = sized.agg(F.max(F.ceil(F.expr("blocks / share"))).alias("last"))
-    following = F.lead("first").over(Window.orderBy("first"))  # at most two rows for each source
-    runs = ends.crossJoin(F.broadcast(last)).select(
-        "first", (F.coalesce(following, "last") - F.col("first")).alias("frames")
-    ).where("frames > 0")
+    # the last of these ends the last frame
+    following = F.lead("first").over(Window.orderBy("first"))  # at most three rows for each source
+    runs = ends.select("first", (following - F.col("first")).alias("frames")).where("frames > 0")
     k = F.least(F.col("share"), F.col("blocks") - F.col("first") * F.col("share"))
     due = runs.join(F.broadcast(sized), F.expr("blocks > first * share"))
     return (
