@@ -10,9 +10,14 @@ by their sizes and by longer signatures of one bit a minimum, whose distance has
 only pairs that are close to the link threshold come out. Links are confirmed on the full sets.
 
 Large groups of copies are not expanded into pairs. Equal word sequences are one class. In a bucket, members
-are first confirmed against representatives, which rounds choose anew; then only members of a bucket that are
-still in different components are compared with each other, so no link between components
-is lost. Keys of one document only leave before any pair is made.
+are first confirmed against representatives, the most central one first. Buckets whose members are still in
+different components then get an index on differences from a representative r: with dx = |X ^ R|, a link asks
+|X ^ Y| <= L * (|X| + |Y|), L = (100 - percent) / (100 + percent), so that the two differences share at least
+t = (dx + dy - L * (|X| + |Y|)) / 2 shingles; the first one they share, in an order that puts what r lacks
+first, then lies within the first dx - t + 1 and dy - t + 1. Members meet by such a shingle only. With t <= 0
+both link to r itself, which is confirmed with the differences. So no link between components is lost, and
+members that share r's words but not each other's edits never meet. Keys of one document only leave before any
+pair is made.
 
 Defined results: a null text is empty; a document without words has an empty set, component itself, and is
 kept; rows that repeat a doc_id are one document (its set sizes stay their own); a null doc_id links nothing,
@@ -43,7 +48,7 @@ class Parameters:
     chunks: int = 16
     distance: int = 31
     #: rounds against representatives, and with how many of them a node is confirmed in each
-    star_rounds: int = 4
+    star_rounds: int = 2
     partners: int = 4
     #: one-bit minima, in words of 64, that members of a shared bucket are compared by, and the most unequal ones
     words_of_bits: int = 16
@@ -220,44 +225,113 @@ def close_enough(p: Parameters) -> Column:
     return sizes & (unequal <= p.unequal_bits)
 
 
+def differences(pairs: DataFrame, docs: DataFrame, p: Parameters) -> DataFrame:
+    """Of each pair (node, rep): size n of the node's set, d of its difference from rep's, linked, and the first shingles of that.
+
+    What rep lacks comes first, each part by hash. As many are kept as any linked partner can need (module docstring).
+    docs: (node, text, ...), one row a node.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows = []
+            for x, r, tx, tr in zip(*(batch.column(c).to_pylist() for c in ("node", "rep", "text", "text_rep")), strict=True):
+                if r not in kept:  # after a merge join, rows of one rep are neighbours
+                    kept = {r: shingle_set(tr.encode().translate(LOWER), p.words)[0]}
+                mine, other = shingle_set(tx.encode().translate(LOWER), p.words)[0], kept[r]
+                added = np.setdiff1d(mine, other, assume_unique=True)
+                gone = np.setdiff1d(other, mine, assume_unique=True)
+                d, n = len(added) + len(gone), len(mine)
+                linked = (100 + p.percent) * d <= (100 - p.percent) * (n + len(other))
+                first = np.concatenate([added, gone])[: (100 - p.percent) * n // p.percent + 1]
+                rows.append((x, r, n, d, linked, first.view("<i8")))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            names = ["node", "rep", "n", "d", "linked", "first"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    left = pairs.join(docs.select("node", "text"), "node")
+    both = left.join(docs.select(F.col("node").alias("rep"), F.col("text").alias("text_rep")), "rep")
+    return both.select("node", "rep", "text", "text_rep").mapInArrow(
+        run, "node long, rep long, n long, d long, linked boolean, first array<long>"
+    )
+
+
+def sharing_differences(differing: DataFrame, component: DataFrame, p: Parameters) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in different components whose differences from one rep can make a link."""
+    at = differing.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tokens = at.select("rep", "node", "component", "n", "d", F.posexplode("first").alias("place", "shingle"))
+    x, y = tokens.alias("x"), tokens.alias("y")
+    more, less = 100 + p.percent, 100 - p.percent
+    twice_shared = more * (F.col("x.d") + F.col("y.d")) - less * (F.col("x.n") + F.col("y.n"))  # 2 * more * t
+    fits = [2 * more * (F.col(f"{s}.d") - F.col(f"{s}.place")) >= twice_shared for s in "xy"]
+    meet = (
+        (F.col("x.rep") == F.col("y.rep"))
+        & (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n"))
+        & fits[0]
+        & fits[1]
+    )
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def central(members: DataFrame) -> DataFrame:
+    """members (node, key) with shared: how many bucket members a node meets, over all its keys.
+
+    The text that others of a group were made from shares more minima with them than they do with each other,
+    so it has the largest number.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    shared = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("shared"))
+    return members.join(shared, "node")
+
+
+def mixed_buckets(members: DataFrame, component: DataFrame, turn: Column) -> tuple[DataFrame, DataFrame]:
+    """members with their component, and (key, r) of the buckets that hold several: r is the member with the least turn."""
+    at = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = at.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn.alias("h"), "node", "component")).alias("r")
+    )
+    return at, ends.where("low <> high").select("key", "r")
+
+
 def near_links(members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame:
     """(a, b) links that connect all that the pairs sharing a key connect.
 
-    members: (node, key) of keys that several nodes share; nodes: (node, text, n, bits), one row a node.
+    members: (node, key, shared) of keys that several nodes share, shared as central() gives it; nodes: (node, text, n, bits), one row a node.
     """
     spark = members.sparkSession
     known = spark.createDataFrame([], "a long, b long")
     old: list[str] = []
-    looks = ["n", *bit_columns(p)]
-    for round_no in range(p.star_rounds + 1):
-        component = connected_components(known)
-        at = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        turn = F.xxhash64("node", "key", F.lit(round_no)).alias("h")  # each bucket has its own order
-        mixed = (
-            at.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn, "node", "component")).alias("r"))
-            .where("low <> high")
-            .select("key", "r")
-        )
+    bits = nodes.select("node", "n", *bit_columns(p))
+    for round_no in range(p.star_rounds):  # each against its bucket's representative: the most central one, then any
+        turn = F.xxhash64("node", "key", F.lit(round_no)) if round_no else -F.col("shared")
+        at, mixed = mixed_buckets(members, connected_components(known), turn)
         mixed, mixed_at = written(mixed, "near-mixed")
         old.append(mixed_at)
         if mixed.isEmpty():
             break
-        bits = nodes.select("node", *looks)
         x = at.join(mixed.select("key"), "key", "left_semi").join(bits, "node").alias("x")
+        y = mixed.select("key", F.col("r.node").alias("node"), F.col("r.component").alias("component")).join(bits, "node").alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        if round_no < p.star_rounds:  # each against the bucket's representative
-            y = mixed.select("key", F.col("r.node").alias("node"), F.col("r.component").alias("component")).join(bits, "node").alias("y")
-        else:  # those of a bucket that are in different components yet, each against each
-            y = x.alias("y")
-            apart = apart & (F.col("x.node") < F.col("y.node"))
-        pairs = x.join(y, apart & close_enough(p))
-        close = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if round_no < p.star_rounds:
-            some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(round_no)), "b"))), 1, p.partners)
-            close = close.groupBy("a").agg(F.transform(some, lambda c: c["b"]).alias("b")).select("a", F.explode("b").alias("b"))
-        found, path = written(known.unionByName(confirmed(close, nodes, p)), "near-links")
-        known = found
+        close = x.join(y, apart & close_enough(p)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(round_no)), "b"))), 1, p.partners)
+        close = close.groupBy("a").agg(F.transform(some, lambda c: c["b"]).alias("b")).select("a", F.explode("b").alias("b"))
+        known, path = written(known.unionByName(confirmed(close, nodes, p)), "near-links")
+        old.append(path)
+    else:  # one order for all buckets, so that those of a group have few representatives
+        at, mixed = mixed_buckets(members, connected_components(known), -F.col("shared"))
+        pairs = at.select("node", "key").join(mixed.select("key", F.col("r.node").alias("rep")), "key").select("node", "rep").distinct()
+        differing, path = written(differences(pairs.where("node <> rep"), nodes, p), "near-differences")
+        old.append(path)
+        known, path = written(known.unionByName(differing.where("linked").selectExpr("node as a", "rep as b")), "near-links")
+        old.append(path)
+        found = confirmed(sharing_differences(differing, connected_components(known), p), nodes, p)
+        known, path = written(known.unionByName(found), "near-links")
         old.append(path)
     final, _ = written(known, "near-links")
     for path in old:
@@ -277,7 +351,7 @@ def near_duplicates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     )
     keys = bucket_keys(classes, p)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members, members_at = written(keys.join(shared, "key").distinct(), "near-members")
+    members, members_at = written(central(keys.join(shared, "key").distinct()), "near-members")
     wanted = members.select("node").distinct()
     texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     nodes, nodes_at = written(with_bits(texts, p), "near-nodes")
