@@ -2,8 +2,11 @@
 
 Tokens are words, held in classes: the commonest words of the corpus one each, other words by their last
 letters, the rest together. The network predicts the class of a token from those on both sides: tanh of the
-sum of a left and a right embedding, then a softmax. A document's score is the sum of the log-probabilities
-of all its tokens, each given its neighbours.
+sum of a left and a right embedding, then a softmax. A document's score is the sum over all its tokens of
+log P(class | neighbours' classes) + log P(word | class). The second term comes from counts of every word of
+the corpus, a table that grows with its vocabulary and meets the documents' words in a join. It is smoothed by
+``unseen`` counts for each word of a class and for one more that the corpus lacks. score_documents() gives the
+first term alone, score_corpus() the sum.
 
 Vocabulary and training cover the whole corpus. What the network learns from, the counts of (left, token,
 right), is gathered from all documents, first in each task, then by a shuffle. Training goes over these
@@ -17,6 +20,7 @@ rows count and keep their own rows; extra columns are ignored. An empty corpus g
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +44,8 @@ class Parameters:
     rounds: int = 3
     rate: float = 0.05
     batch: int = 4096
+    #: added to each word's count in its class, and the count of a word that the corpus lacks
+    unseen: float = 0.1
     seed: int = 11
 
     @property
@@ -75,6 +81,12 @@ def classes_of(text: str, words: dict[str, int], endings: dict[str, int], letter
     return np.array([EDGE, *found, EDGE], dtype=np.int64)
 
 
+def members_of(text: str, words: dict[str, int], endings: dict[str, int], letters: int) -> dict[str, tuple[int, int]]:
+    """word: (class, count) of a text's tokens that share their class with other words."""
+    found = Counter(TOKEN.findall(text.lower()))
+    return {w: (endings.get(w[-letters:], OTHER), n) for w, n in found.items() if w not in words}
+
+
 def triple_counts(docs: DataFrame, words: dict, endings: dict, p: Parameters) -> DataFrame:
     """triple ((left * classes + right) * classes + token) and n over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast((words, endings))
@@ -217,10 +229,15 @@ def fit(docs: DataFrame, p: Parameters = Parameters()) -> Model:
 _ready: dict[int, tuple] = {}
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over tokens), mean_log_likelihood of every row of docs (doc_id, text)."""
+SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+MEMBERS = "members array<struct<word: string, class: int, n: int>>"
+
+
+def scored(docs: DataFrame, model: Model, members: bool) -> DataFrame:
+    """score_documents(), and with ``members`` the words of members_of() as well."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     p = model.p
+    kind = pa.list_(pa.struct([("word", pa.string()), ("class", pa.int32()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -230,23 +247,58 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             _ready[id(m)] = net, net.normaliser()
         net, normaliser = _ready[id(m)]
         for b in batches:
-            coded = [classes_of(t, m.words, m.endings, p.ending_letters) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            coded = [classes_of(t, m.words, m.endings, p.ending_letters) for t in texts]
             n = np.array([len(c) - 2 for c in coded], dtype=np.int64)
             left, token, right = (np.concatenate([c[i : len(c) - 2 + i] for c in coded]) for i in range(3))
             each = np.concatenate([net.log_probabilities(left[i : i + 8192], token[i : i + 8192], right[i : i + 8192], normaliser) for i in range(0, len(token), 8192)] or [np.zeros(0)])
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(np.float64)
             mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, pa.float64())],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-            )
+            arrays = [b.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, pa.float64())]
+            names = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+            if members:
+                found = [members_of(t, m.words, m.endings, p.ending_letters) for t in texts]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = [
+                    pa.array([w for f in found for w in f], pa.string()),
+                    pa.array([c for f in found for c, _ in f.values()], pa.int32()),
+                    pa.array([k for f in found for _, k in f.values()], pa.int32()),
+                ]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(kind.value_type)), type=kind))
+                names.append("members")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
-    )
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"{SCORES}, {MEMBERS}" if members else SCORES)
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (of the classes, summed over tokens), mean_log_likelihood of every row of docs (doc_id, text)."""
+    return scored(docs, model, False)
+
+
+def member_rows(found: DataFrame) -> DataFrame:
+    """row, word, class, n of the members of each row."""
+    return found.select("row", F.explode("members").alias("m")).select("row", "m.word", "m.class", "m.n")
+
+
+def word_table(members: DataFrame, p: Parameters) -> DataFrame:
+    """word and log_p (log P(word | class)) of every word of members (word, class, n) that shares its class."""
+    words = members.groupBy("word", "class").agg(F.sum("n").alias("n"))
+    # as many rows as the network has classes
+    sizes = words.groupBy("class").agg((F.sum("n") + p.unseen * (F.count("*") + 1)).alias("size"))
+    return words.join(F.broadcast(sizes), "class").select("word", F.log((F.col("n") + p.unseen) / F.col("size")).alias("log_p"))
 
 
 def score_corpus(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """Train on the corpus and score each of its documents."""
-    return score_documents(docs, fit(docs, p))
+    """Train on the corpus and score each of its documents: score_documents(), with the words given their classes."""
+    found, _ = written(scored(docs, fit(docs, p), True).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    words, _ = written(word_table(member_rows(found), p), "lm-words")
+    each = member_rows(found).join(words, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("inside"))
+    total = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
+    return found.drop("members").join(each, "row", "left").select(
+        "doc_id",
+        "n_tokens",
+        total.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
+    )

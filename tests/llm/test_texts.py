@@ -195,3 +195,37 @@ def test_lm_scores(spark):
     assert lm_scoring.score_corpus(no_docs(spark), p).count() == 0
     counts = lm_scoring.triple_counts(sample_docs(spark), model.words, model.endings, p)
     assert counts.agg(F.sum("n")).first()[0] == sum(r["n_tokens"] for r in rows.values())
+
+
+def test_lm_scores_words_inside_their_classes(spark):
+    p = lm_scoring.Parameters(words=2, endings=2, hidden=4)
+    real = "the cat and the hat and the bat " * 20
+    junk = "the xqcat and the zzhat and the qqbat"  # words of the same endings
+    rows = [(1, real), (2, "the cat and the hat and the bat"), (3, junk), (3, junk), (None, None), (4, "the and")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_scoring.fit(docs, p)
+    classes = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in lm_scoring.score_documents(docs, model).collect()}
+    assert abs(classes[2, 8] - classes[3, 8]) < 1e-4  # the classes can't tell them apart
+    counts = {}
+    for _, text in rows:
+        for word in lm_scoring.TOKEN.findall(text or ""):
+            counts[word] = counts.get(word, 0) + 1
+    members = {}
+    for word in counts:
+        if word not in model.words:
+            members.setdefault(model.endings.get(word[-2:], lm_scoring.OTHER), []).append(word)
+    inside = {
+        w: np.log((counts[w] + p.unseen) / (sum(counts[x] for x in group) + p.unseen * (len(group) + 1)))
+        for group in members.values()
+        for w in group
+    }
+    found = lm_scoring.score_corpus(docs, p).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        text = next(t for i, t in rows if i == r["doc_id"]) or ""
+        tokens = lm_scoring.TOKEN.findall(text)
+        total = classes[r["doc_id"], len(tokens)] + sum(inside.get(w, 0.0) for w in tokens)
+        assert abs(total - r["log_likelihood"]) < 1e-3 * max(1, len(tokens))
+        assert r["mean_log_likelihood"] is None if not tokens else abs(r["mean_log_likelihood"] - total / len(tokens)) < 1e-3
+    score = {r["doc_id"]: r["log_likelihood"] for r in found}
+    assert score[2] > score[3] + 1
