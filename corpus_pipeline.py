@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sweepline.llm import byte_bpe, mixing, near_dedup, toxicity
-from sweepline.llm.common import written
+from sweepline.llm.common import text_of, written
 from sweepline.session import table
 
 
@@ -28,17 +29,39 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return stays.unionByName(again.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
+def position_column(columns: list[str]) -> str:
+    name = "position"
+    while name in columns:
+        name += "_"
+    return name
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture over the files and inside each."""
-    order = mixing.mix(docs).select("doc_id", "slot", "place").where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    placed, _ = written(rows.join(order, "doc_id", "left"), "mix-placed")
+    """All documents with their ``position`` in the mixture, in that order over the files and inside each.
+
+    Readers of several files do not keep an order, so it is the column that says it. It rises along the mixture
+    and is unique; it has gaps where a source's last block isn't full. Where docs has a column of that name, the
+    position's name ends in ``_``.
+    """
+    p = mixing.Parameters()
+    free = position_column(docs.columns)
+    # rows without doc_id are told apart by their texts
+    key = F.coalesce("doc_id", F.xxhash64(text_of()))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(mixing.NULL_SOURCE))
+    mixed = mixing.mix(docs.select(key.alias("doc_id"), "source"), p)
+    at = F.col("slot") * p.block + F.col("place")
+    # rows of one key meet its places in the order of their sources
+    order = mixed.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("source", at.alias("at")))).alias("places"))
+    rows = docs.select(key.alias("key"), source.alias("by"), F.xxhash64(text_of()).alias("then"), F.struct(*docs.columns).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("by", "then"))
+    placed = rows.withColumn("nth", nth).join(order, "key", "left")
+    placed, _ = written(placed.select("row", F.try_element_at("places", F.col("nth"))["at"].alias("at")), "mix-placed")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    return placed.repartitionByRange(parts, "at").sortWithinPartitions("at").select("row.*", F.col("at").alias(free))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, in place of the text."""
+    """Token ids of each text, in place of the text; the position in the mixture stays."""
     vocabulary = byte_bpe.public_vocabulary()
     return byte_bpe.encode_documents(docs, *vocabulary).withColumn("n_tokens", byte_bpe.n_tokens())
 

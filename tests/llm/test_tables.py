@@ -251,3 +251,19 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "source", "tokens"}
+
+
+def test_pipeline_rows_have_their_place_in_the_mixture(spark):
+    rows = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["position"])
+    kept = spark.createDataFrame([(r["doc_id"], r["source"]) for r in rows], "doc_id long, source string")
+    order = sorted(mixing.mix(kept).collect(), key=lambda r: (r["slot"], r["place"]))
+    assert len(rows) > 50 and [r["doc_id"] for r in rows] == [r["doc_id"] for r in order]
+    # null and repeated doc_ids have places of their own, in their sources' blocks
+    docs = edge_docs(spark, False).union(spark.createDataFrame([(None, "x", "src0"), (None, "x", "src1")], edge_docs(spark, False).schema))
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("position", F.lit("own")), SF).collect()
+    assert len({r["position_"] for r in mixed}) == len(mixed) == docs.count() and {r["position"] for r in mixed} == {"own"}
+    assert all(r["position_"] is not None for r in mixed)
+    sources = {r["slot"] * mixing.Parameters().block + r["place"]: r["source"] for r in mixing.mix(docs).collect()}
+    found = {r["position_"]: r["source"] or mixing.NULL_SOURCE for r in mixed}
+    assert sorted(sources) == sorted(found)
+    assert sorted(sources.values()) == sorted(found.values())
