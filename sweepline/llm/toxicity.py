@@ -1,15 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For each class, words have Kneser-Ney continuation counts: the number of different words that they follow.
-A repeated passage or copied document so counts once. An expression backs off, with absolute discounting,
-from the word to its stem (its first letters), and from the stem to counts that both classes share, so a
-rare expression has about the same probability in both. A word's log-likelihood ratio is log P(toxic) -
-log P(ordinary). Texts are compared by length-normalised ratios: the mean over all words and the largest
-mean over the windows of each width; a logistic fit on labelled documents that the counts have not seen
-turns these into a score.
+For each class, words are predicted from the word before (at a text's start from the empty one) by interpolated
+Kneser-Ney: bigram counts, absolutely discounted, back off to continuation counts (the number of different words
+that a word follows), and these to continuation counts that both classes share, where a word that neither class
+has seen counts half. A word's log-likelihood ratio is log P(word | before, toxic) - log P(word | before,
+ordinary). Texts are compared by length-normalised ratios: the mean over all words, and the largest mean over
+the windows of each width, both for the ratios above and for those of the continuation counts alone; a logistic
+fit on labelled documents that the counts have not seen turns these into a score.
 
 Labels are learned from a bounded sample of labelled documents: those with the smallest hashes of doc_id,
-at most ``sample`` of them. Only the table of ratios, bounded by ``entries``, goes to the tasks.
+at most ``sample`` of them. The tables of their words and bigrams, whole, go to the tasks.
 
 Defined results: a null text is empty; a text without words has the score of zero ratios; repeated labels of
 a document count as toxic if any is; a null label is none. Without labels of both classes every score is 0.
@@ -20,14 +20,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import bounded_batches, extended, text_of
+from sweepline.llm.common import bounded_batches, discard, extended, text_of, written
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -35,10 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Parameters:
     sample: int = 20_000
-    entries: int = 100_000
-    stem: int = 5
     discount: float = 0.75
-    least_count: int = 4
     windows: tuple[int, ...] = (1, 8)
     #: labelled rows with this remainder fit the logistic, the rest the counts
     folds: int = 5
@@ -48,25 +45,42 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Model:
-    words: dict[str, float]
-    stems: dict[str, float]
+    """Words by number; the last number is that of all unseen words. Arrays of two rows have the classes ordinary and toxic."""
+
+    words: dict[str, int]
+    lower: np.ndarray  # P(word) by continuation, of each class
+    seen: np.ndarray  # bigram tokens that a word starts, of each class
+    back_off: np.ndarray  # weight of ``lower`` after a word, of each class
+    keys: np.ndarray  # sorted: number of the word before * numbers + number of the word
+    counts: np.ndarray  # discounted counts of each key, of each class
     weights: tuple[float, ...]  # of each feature, then the intercept
     p: Parameters
 
     def ratios(self, text: str) -> np.ndarray:
-        words, stems, n = self.words, self.stems, self.p.stem
-        found = [
-            r if (r := words.get(w)) is not None else stems.get(w[:n], 0.0) for w in WORD.findall(text.lower())
-        ]
-        return np.array(found, dtype=np.float64)
+        """The ratio of each word, given the word before."""
+        return self.both_ratios(text)[0]
+
+    def both_ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """ratios(), and those of the words by continuation alone."""
+        unseen = self.lower.shape[1] - 1
+        at = np.array([self.words.get(w, unseen) for w in ["", *WORD.findall(text.lower())]], dtype=np.int64)
+        before, word = at[:-1], at[1:]
+        key = before * (unseen + 1) + word
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        own = np.where(self.keys[place] == key, self.counts[:, place], 0) / np.maximum(self.seen[:, before], 1)
+        lower = self.lower[:, word]
+        p = own + self.back_off[:, before] * lower
+        return np.log(p[1] / p[0]), np.log(lower[1] / lower[0])
 
     def features(self, text: str) -> list[float]:
-        r = self.ratios(text)
-        if not len(r):
-            return [0.0] * (1 + len(self.p.windows))
-        total = np.concatenate([[0.0], np.cumsum(r)])
-        best = [float((total[m:] - total[:-m]).max() / m) for w in self.p.windows for m in [min(w, len(r))]]
-        return [float(r.mean()), *best]
+        found = []
+        for r in self.both_ratios(text):
+            if not len(r):
+                return [0.0] * 2 * (1 + len(self.p.windows))
+            total = np.concatenate([[0.0], np.cumsum(r)])
+            best = [float((total[m:] - total[:-m]).max() / m) for w in self.p.windows for m in [min(w, len(r))]]
+            found += [float(r.mean()), *best]
+        return found
 
     def score(self, text: str) -> float:
         z = np.dot(self.weights[:-1], self.features(text)) + self.weights[-1]
@@ -91,69 +105,57 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Parameters) -> DataFr
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
-def continuation_counts(sample: DataFrame, p: Parameters) -> DataFrame:
-    """kind, expression, ordinary, toxic: in how many contexts words (and stems) stand in each class."""
+def bigram_counts(sample: DataFrame) -> DataFrame:
+    """v, w, ordinary, toxic: how often each word follows each word (the empty one at a text's start) in each class."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
     pairs = sample.select(
-        "toxic",
+        (F.col("toxic") > 0).cast("long").alias("toxic"),
         F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("v"), words.alias("w"))).alias("x"),
     ).select("toxic", "x.v", "x.w")
-    seen = pairs.where("w is not null").groupBy("v", "w").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
-    stems = F.substring("w", 1, p.stem)
-    found = seen.select(
-        F.explode(F.array(F.struct(F.lit("word").alias("kind"), F.col("w").alias("expression")),
-                          F.struct(F.lit("stem").alias("kind"), stems.alias("expression")))).alias("e"),
-        (F.col("low") == 0).cast("long").alias("ordinary"),
-        (F.col("high") == 1).cast("long").alias("toxic"),
-    )
-    return found.groupBy("e.kind", "e.expression").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def ratio_tables(counts: DataFrame, p: Parameters) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-likelihood ratios of the commonest words, and of stems for all other words."""
-    totals = {
-        r["kind"]: r
-        for r in counts.groupBy("kind")
-        .agg(
-            *[F.sum(c).cast("double").alias(c) for c in ("ordinary", "toxic")],
-            *[F.sum((F.col(c) > 0).cast("double")).alias(f"{c}_types") for c in ("ordinary", "toxic")],
-        )
-        .collect()
-    }
-    if not totals or any(not r["ordinary"] or not r["toxic"] for r in totals.values()):
-        return {}, {}
-    common = counts.where(F.col("ordinary") + F.col("toxic") >= p.least_count)
-    rows = {
-        k: common.where(F.col("kind") == k)
-        .orderBy((F.col("ordinary") + F.col("toxic")).desc(), "expression")
-        .limit(p.entries)
-        .collect()
-        for k in ("word", "stem")
-    }
-
-    def parts(kind: str, c: str) -> tuple[float, float]:
-        t = totals[kind]
-        return t[c], p.discount * t[f"{c}_types"] / t[c]
-
-    stems: dict[str, tuple[float, float]] = {}
-    n_all = totals["stem"]["ordinary"] + totals["stem"]["toxic"]
-    for r in rows["stem"]:
-        shared = (r["ordinary"] + r["toxic"]) / n_all
-        each = []
-        for c in ("ordinary", "toxic"):
-            n, back_off = parts("stem", c)
-            each.append(max(r[c] - p.discount, 0) / n + back_off * shared)
-        stems[r["expression"]] = (each[0], each[1])
-    words = {}
-    least = 1 / n_all
-    for r in rows["word"]:
-        of_stem = stems.get(r["expression"][: p.stem], (least, least))
-        each = []
-        for c, lower in zip(("ordinary", "toxic"), of_stem, strict=True):
-            n, back_off = parts("word", c)
-            each.append(max(r[c] - p.discount, 0) / n + back_off * lower)
-        words[r["expression"]] = float(np.log(each[1] / each[0]))
-    return words, {s: float(np.log(t / o)) for s, (o, t) in stems.items()}
+    return pairs.where("w is not null").groupBy("v", "w").agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+CLASSES = ("ordinary", "toxic")
+
+
+def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
+    """The model of bigram_counts(), without weights; None where a class has no words."""
+    spark = counts.sparkSession
+    sides = counts.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("v").alias("word"), *[F.col(c).alias(f"{c}_seen") for c in CLASSES],
+                         *[(F.col(c) > 0).cast("long").alias(f"{c}_types") for c in CLASSES], *[F.lit(0).cast("long").alias(f"{c}_before") for c in CLASSES]),
+                F.struct(F.col("w").alias("word"), *[F.lit(0).cast("long").alias(f"{c}_{k}") for k in ("seen", "types") for c in CLASSES],
+                         *[(F.col(c) > 0).cast("long").alias(f"{c}_before") for c in CLASSES]),
+            )
+        ).alias("s")
+    ).select("s.*")
+    table = sides.groupBy("word").agg(*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in ("seen", "types", "before") for c in CLASSES]).toArrow()
+    of = lambda k: np.array([table.column(f"{c}_{k}").to_numpy() for c in CLASSES], dtype=np.float64)
+    seen, types, before = (np.hstack([of(k), [[0.0], [0.0]]]) for k in ("seen", "types", "before"))
+    total = before.sum(axis=1, keepdims=True)
+    if not len(table) or not total.all():
+        return None
+    n = before.shape[1]
+    shared = before.sum(axis=0) + 0.5
+    shared /= shared.sum()
+    spread = p.discount * (before > 0).sum(axis=1, keepdims=True) / total
+    lower = np.maximum(before - p.discount, 0) / total + spread * shared
+    back_off = np.where(seen > 0, p.discount * types / np.maximum(seen, 1), 1.0)
+    names = table.column("word")
+    numbers = spark.createDataFrame(pa.table({"word": names, "number": pa.array(np.arange(n - 1))}))
+    # as many rows as the sample has words
+    v, w = (F.broadcast(numbers.select(F.col("word").alias(c), F.col("number").alias(f"{c}_number"))) for c in "vw")
+    rows = counts.join(v, "v").join(w, "w").select(
+        (F.col("v_number") * n + F.col("w_number")).alias("key"), *[F.col(c).cast("float").alias(c) for c in CLASSES]
+    ).orderBy("key").toArrow()
+    keys = rows.column("key").to_numpy()
+    discounted = np.empty((2, len(keys)), dtype=np.float32)
+    for i, c in enumerate(CLASSES):
+        np.maximum(rows.column(c).to_numpy() - np.float32(p.discount), 0, out=discounted[i])
+    del rows
+    return Model({x: i for i, x in enumerate(names.to_pylist())}, lower, seen, back_off, keys, discounted, (), p)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[float, ...]:
@@ -172,10 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
     """The model, or None where the labels don't hold both classes."""
     sample = labelled_sample(docs, labels, p)
     logistic = fold_of(F.col("doc_id"), p.folds) == p.logistic_fold
-    words, stems = ratio_tables(continuation_counts(sample.where(~logistic), p).cache(), p)
-    if not words:
+    counts, path = written(bigram_counts(sample.where(~logistic)), "toxicity-bigrams")
+    model = kneser_ney(counts, p)
+    discard(docs.sparkSession, path)
+    if model is None:
         return None
-    model = Model(words, stems, (), p)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
 
     bounded_batches(docs.sparkSession)
     rows = sample.where(logistic).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x array<double>").collect()
+    shared.destroy()
     if len({r["toxic"] for r in rows}) < 2:
         return None
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"] > 0) for r in rows])
-    return Model(words, stems, logistic_fit(x, y), p)
+    return replace(model, weights=logistic_fit(x, y))
 
 
 def score_documents(docs: DataFrame, model: Model | None, output: str = "score") -> DataFrame:

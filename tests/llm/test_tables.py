@@ -267,3 +267,31 @@ def test_pipeline_rows_have_their_place_in_the_mixture(spark):
     found = {r["position_"]: r["source"] or mixing.NULL_SOURCE for r in mixed}
     assert sorted(sources) == sorted(found)
     assert sorted(sources.values()) == sorted(found.values())
+
+
+def test_toxicity_knows_sequences_and_rare_words(spark):
+    rows = [(i, "green apple red pear " * 3, 0) for i in range(40)] + [(100 + i, "green pear red apple " * 3, 1) for i in range(40)]
+    rows += [(500, "seldom", 1)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "toxic", "text")
+    p = toxicity.Parameters()
+    model = toxicity.kneser_ney(toxicity.bigram_counts(sample), p)
+    # the same ordinary words, in another order
+    assert model.ratios("green pear red apple").mean() > 1 and model.ratios("green apple red pear").mean() < -1
+    assert abs(model.ratios("seldom")[0]) > 0 and len(model.ratios("")) == 0
+    # by hand: P(pear | green) of each class
+    contexts = {0: {"green": 2, "apple": 1, "red": 1, "pear": 1}, 1: {"green": 2, "pear": 1, "red": 1, "apple": 1, "seldom": 1}}
+    shared = {w: sum(c.get(w, 0) for c in contexts.values()) + 0.5 for c in contexts.values() for w in c}
+    whole = sum(shared.values()) + 2 * 0.5  # the empty word and all unseen words
+    each = []
+    for c, (own, n) in enumerate([(0, 120), (120, 120)]):
+        total, types = sum(contexts[c].values()), len(contexts[c])
+        lower = max(contexts[c]["pear"] - p.discount, 0) / total + p.discount * types / total * shared["pear"] / whole
+        each.append(max(own - p.discount, 0) / n + p.discount * 1 / n * lower)
+    assert abs(model.ratios("green pear")[1] - np.log(each[1] / each[0])) < 1e-4
+    # every word sums to one after any history, over all seen words and the unseen
+    for v in ("green", "seldom", ""):
+        at = model.words[v] * model.lower.shape[1] + np.arange(model.lower.shape[1])
+        for c in (0, 1):
+            found = dict(zip(model.keys.tolist(), model.counts[c].tolist(), strict=True))
+            own = sum(found.get(int(k), 0.0) for k in at) / max(model.seen[c, model.words[v]], 1)
+            assert abs(own + model.back_off[c, model.words[v]] * model.lower[c].sum() - 1) < 1e-5
