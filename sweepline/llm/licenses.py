@@ -2,8 +2,10 @@
 
 A text is brought to a canonical form: lower case, copyright lines left out, equivalent spellings made one,
 punctuation and white space made single spaces. Its SHA-256 digest is hash-joined with the digests of known
-licence texts. The scan looks up whole documents and whole paragraphs, so a notice line or a licence that
-stands between blank lines in a longer text is found as well.
+licence texts. The scan looks up whole documents, lines, paragraphs, and runs of as many consecutive paragraphs
+as a known text has, so a notice line or a whole licence, in its own layout or as one paragraph, that stands
+between blank lines in a longer text is found as well. Of a
+licence that a text splits in another way, the runs looked up are still those of known counts only.
 
 Defined results: a null text is empty; an empty canonical form matches nothing; of several matches in a
 document each licence is named once, in order; extra columns are ignored, repeated rows keep their own rows.
@@ -54,17 +56,41 @@ def known_digests(spark: SparkSession, licenses: Mapping[str, str] = LICENSES) -
     return texts.groupBy(digest.alias("digest")).agg(F.min(F.substring_index("license", "#", 1)).alias("license"))
 
 
+def parts_of(lines: str) -> Column:
+    """The paragraphs of canonical_lines() that have words."""
+    return F.filter(F.split(lines, r"\n\s*\n"), lambda x: canonical(x) != "")
+
+
+def runs_of(parts: Column, k: int) -> Column:
+    """Each k consecutive ones of parts, as one text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (k - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.lit(k)), " "))
+    return F.when(F.size(parts) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+
+def paragraph_counts(spark: SparkSession, licenses: Mapping[str, str] = LICENSES) -> list[int]:
+    """The numbers of paragraphs that known texts have."""
+    texts = spark.createDataFrame(sorted(licenses.items()), "license string, text string")
+    sized = texts.select(canonical_lines(F.col("text")).alias("lines")).select(F.size(parts_of("lines")).alias("k"))
+    return [r["k"] for r in sized.distinct().orderBy("k").collect()]
+
+
 def scan(docs: DataFrame, licenses: Mapping[str, str] = LICENSES) -> DataFrame:
     """doc_id, digest (of the canonical whole text), license (of the whole text or null), parts (array<string>).
 
-    parts names the licences that paragraphs (runs of lines between blank lines) or lines of the text are.
+    parts names the licences that paragraphs (lines between blank lines), runs of them or lines of the text are.
     """
     known = known_digests(docs.sparkSession, licenses)
     # the known texts are a fixed table of a few rows for each licence
     table = F.create_map(*[F.lit(x) for r in known.orderBy("digest").collect() for x in (r["digest"], r["license"])])
     lines = docs.select("doc_id", canonical_lines(text_of()).alias("lines"))
-    pieces = F.array_distinct(F.concat(F.split("lines", r"\n\s*\n"), F.split("lines", "\n")))
-    named = F.transform(pieces, lambda x: F.try_element_at(table, sha256_hex(canonical(x))))
+    counts = paragraph_counts(docs.sparkSession, licenses)
+    named = F.flatten(
+        F.transform(F.array(parts_of("lines")), lambda c: F.transform(
+            F.array_distinct(F.concat(c, F.split("lines", "\n"), *[runs_of(c, k) for k in counts if k > 1])),
+            lambda x: F.try_element_at(table, sha256_hex(canonical(x))),
+        ))
+    )
     whole = canonical(F.col("lines"))
     rows = lines.select(
         "doc_id",

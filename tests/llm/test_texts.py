@@ -229,3 +229,13 @@ def test_lm_scores_words_inside_their_classes(spark):
         assert r["mean_log_likelihood"] is None if not tokens else abs(r["mean_log_likelihood"] - total / len(tokens)) < 1e-3
     score = {r["doc_id"]: r["log_likelihood"] for r in found}
     assert score[2] > score[3] + 1
+
+
+def test_licenses_in_their_own_layout_inside_a_text(spark):
+    full = sorted(k for k in LICENSES if "#" not in k)
+    rows = [(i, f"before\n\nmore\n\nCopyright (c) 2020 Someone\n\n{LICENSES[k]}\n\nafter\n\nthe end") for i, k in enumerate(full)]
+    assert all("\n\n" in LICENSES[k] for k in full)
+    rows += [(90, "a\n\nb\n\nc"), (91, LICENSES["MIT"].split("\n\n")[0])]
+    found = {r["doc_id"]: (r["license"], r["parts"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == (None, [k]) for i, k in enumerate(full))
+    assert found[90] == found[91] == (None, [])
