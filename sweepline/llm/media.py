@@ -81,20 +81,26 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 
 def pixels(media: DataFrame) -> DataFrame:
-    """media with ``width``, ``height`` and ``argb`` (32-bit numbers, row by row) of the first file of each row."""
+    """A row for each file of media, with ``file`` (its place, from 0), ``width``, ``height`` and ``argb`` (32-bit numbers, row by row).
+
+    A row without files has one row of size 0, with a null ``file``.
+    """
     bounded_batches(media.sparkSession)
+    files = media.select("*", F.posexplode_outer("media").alias("file", "one_file__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            images = [webp.decode(files[0]) if files else np.zeros((0, 0), dtype=np.uint32) for files in b.column("media").to_pylist()]
+            images = [webp.decode(f) if f else np.zeros((0, 0), dtype=np.uint32) for f in b.column("one_file__").to_pylist()]
             arrays = [
                 pa.array([i.shape[1] for i in images], pa.int32()),
                 pa.array([i.shape[0] for i in images], pa.int32()),
                 pa.array([i.ravel().astype(np.int64) for i in images], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "width", "height", "argb"])
+            kept = b.drop_columns(["one_file__"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], [*kept.schema.names, "width", "height", "argb"])
 
-    return media.mapInArrow(run, extended(media.schema, width="int", height="int", argb="array<bigint>"))
+    schema = extended(files.drop("one_file__").schema, width="int", height="int", argb="array<bigint>")
+    return files.mapInArrow(run, schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -239,3 +239,14 @@ def test_licenses_in_their_own_layout_inside_a_text(spark):
     found = {r["doc_id"]: (r["license"], r["parts"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[i] == (None, [k]) for i, k in enumerate(full))
     assert found[90] == found[91] == (None, [])
+
+
+def test_pixels_of_all_files(spark):
+    text = "0123456789abcde\n" * ((media.FILE_BYTES + 640) // 16)
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = sorted(media.pixels(media.store_payloads(docs)).collect(), key=lambda r: (r["doc_id"], r["file"]))
+    assert [(r["doc_id"], r["file"], r["width"]) for r in rows] == [(1, 0, 64), (1, 1, 64), (2, 0, 64)]
+    green = b"".join(((np.array(r["argb"]) >> 8) & 255).astype(np.uint8).tobytes() for r in rows[:2])
+    assert green[: len(text)] == text.encode() and not any(green[len(text) :])
+    none = media.pixels(spark.createDataFrame([(None,)], "media array<binary>")).first()
+    assert (none["file"], none["width"], none["height"], none["argb"]) == (None, 0, 0, [])
