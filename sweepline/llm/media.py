@@ -33,7 +33,7 @@ def store_payloads(docs: DataFrame) -> DataFrame:
             sizes, media = [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 data = text or b""
-                payload = data + bytes(UNIT - len(data) % UNIT)
+                payload = data + bytes(-len(data) % UNIT if data else UNIT)
                 sizes.append(len(data))
                 media.append(
                     [webp.encode_bytes(payload[i : i + FILE_BYTES], UNIT) for i in range(0, len(payload), FILE_BYTES)]

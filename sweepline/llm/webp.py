@@ -1,8 +1,8 @@
 """Lossless WebP (VP8L) in numpy: prefix codes, back-references, colour cache and the four transforms.
 
 decode() reads any VP8L still image. encode() writes ARGB images with chosen transforms and a colour cache;
-encode_bytes() is the quick writer for byte samples: a grey palette, one prefix code, and back-references to
-lines that came before. Images of one channel, without cache, take a vectorised reader: all bit positions are
+encode_bytes() is the quick writer for byte samples: a palette and codes of their own for data of any size, and
+back-references to lines that came before. Images of one channel, without cache, take a vectorised reader: all bit positions are
 looked up at once, and only the chain of symbol starts is followed one by one.
 """
 
@@ -590,15 +590,11 @@ def repeats(data: bytes, least: int) -> list[tuple[int, int, int]]:
 class Profile:
     """A palette and codes for byte samples, and the bits that hold them between the image's size and its pixels.
 
-    Samples are green alone. A profile comes from counts of bytes; with ``copies`` it has codes for all lengths
-    and distances, otherwise for those given.
+    Samples are green alone. Codes come from the counts of what the image holds.
     """
 
     def __init__(self, counts: np.ndarray, order: np.ndarray, lengths: np.ndarray, distances: np.ndarray):
         """counts: of palette entries; order: the bytes by palette entry; lengths, distances: counts of symbols."""
-        self.entries = len(order)
-        self.index_of = np.zeros(256, dtype=np.uint8)
-        self.index_of[order] = np.arange(len(order))
         bits = Bits()
         bits.write(1 | PALETTE << 1, 3)
         bits.write(len(order) - 1, 8)
@@ -621,31 +617,14 @@ class Profile:
             self.code[s], self.size[s] = c, n
 
 
-#: Bytes by their frequency in plain text, roughly; the rest follow by value.
-COMMON = b" etaoinsrhldcumfpgwybvk,.\nETAOINSRHLDCUMFPGWYBVK-'0123456789\"():;!?xjqz/_XJQZ"
-
-
-def standard_profile() -> Profile:
-    rest = bytes(b for b in range(256) if b not in COMMON)
-    counts = np.array([int(2**20 / (i + 2) ** 1.6) for i in range(256)])
-    return Profile(counts, np.frombuffer(COMMON + rest, dtype=np.uint8), np.full(24, 600), np.ones(40, dtype=np.int64))
-
-
-_standard: list[Profile] = []
-
-
-def encode_bytes(data: bytes, width: int = 64, least: int = 12, own_from: int = 16384) -> bytes:
-    """A lossless WebP file whose green samples are the bytes, in rows of ``width``.
-
-    Data of ``own_from`` bytes or more have a palette and codes of their own, shorter ones the standard profile.
-    """
+def encode_bytes(data: bytes, width: int = 64, least: int = 12) -> bytes:
+    """A lossless WebP file whose green samples are the bytes, in rows of ``width``, with a palette and codes of its own."""
     raw = np.frombuffer(data, dtype=np.uint8)
     height = len(raw) // width
     if len(raw) % width or not 0 < height <= MAX_SIDE:
         raise ValueError(f"{len(raw)} bytes are no rows of {width}, or too many")
-    own = len(raw) >= own_from
-    order = np.flatnonzero(np.bincount(raw, minlength=256)) if own else ()
-    copies = [] if own and len(order) <= 16 else repeats(data, least)
+    order = np.flatnonzero(np.bincount(raw, minlength=256))
+    copies = [] if len(order) <= 16 else repeats(data, least)
     parts, at = [], 0  # each: where literals begin and end, then the copy that follows
     for start, n, source in copies:
         for low in range(0, n, MAX_COPY):
@@ -654,20 +633,14 @@ def encode_bytes(data: bytes, width: int = 64, least: int = 12, own_from: int =
             at = start + low + size
     tokens = [(prefixed(n), prefixed(back + 120)) for _, _, n, back in parts]
     kept = np.concatenate([raw[a:b] for a, b, _, _ in [*parts, (at, len(raw), 0, 0)]]) if parts else raw
-    if own:
-        index = np.zeros(256, dtype=np.uint8)
-        index[order] = np.arange(len(order))
-        literals = index[kept]
-        if len(order) <= 16:
-            literals = packed_rows(literals.reshape(height, width), len(order)).ravel()
-        lengths = np.bincount([n for (n, *_), _ in tokens], minlength=24) if tokens else np.zeros(24, dtype=np.int64)
-        distances = np.bincount([d for _, (d, *_) in tokens], minlength=40) if tokens else np.zeros(40, dtype=np.int64)
-        profile = Profile(np.bincount(literals, minlength=256), order, lengths, distances)
-    else:
-        if not _standard:
-            _standard.append(standard_profile())
-        profile = _standard[0]
-        literals = profile.index_of[kept]
+    index = np.zeros(256, dtype=np.uint8)
+    index[order] = np.arange(len(order))
+    literals = index[kept]
+    if len(order) <= 16:
+        literals = packed_rows(literals.reshape(height, width), len(order)).ravel()
+    lengths = np.bincount([n for (n, *_), _ in tokens], minlength=24) if tokens else np.zeros(24, dtype=np.int64)
+    distances = np.bincount([d for _, (d, *_) in tokens], minlength=40) if tokens else np.zeros(40, dtype=np.int64)
+    profile = Profile(np.bincount(literals, minlength=256), order, lengths, distances)
     values, sizes = profile.code[literals], profile.size[literals]
     if tokens:
         places = np.cumsum([b - a for a, b, _, _ in parts])
