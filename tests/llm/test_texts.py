@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import tiktoken
@@ -64,6 +66,22 @@ def edited_by_hand(rows):
     return out
 
 
+def cosine_by_hand(x, y):
+    """Of the counts of pieces (at most 12 characters of a word) with the piece before in the line."""
+    counts = []
+    for text in (x, y):
+        found = Counter()
+        for line in text.split("\n"):
+            pieces = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", line)
+            found.update(zip(["", *pieces], pieces, strict=False))
+        counts.append(found)
+    a, b = counts
+    if a == b:
+        return 1.0
+    norm = sum(v * v for v in a.values()) * sum(v * v for v in b.values())
+    return sum(v * b[k] for k, v in a.items()) / norm**0.5 if norm else 0.0
+
+
 def test_fingerprint_query(spark):
     docs = sample_docs(spark)
     rows = queries.op1_fingerprint(spark, SF).collect()
@@ -74,8 +92,16 @@ def test_fingerprint_query(spark):
         assert r["edited_sha256"] == hashlib.sha256(edited[r["doc_id"]].encode()).hexdigest()
         assert r["n_chars"] == len(dict(texts)[r["doc_id"]])
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    longer = [r for r in rows if r["n_chars"] > 2000]
-    assert sum(r["near_edited"] > r["near_next"] for r in longer) > 0.95 * len(longer)
+    longer = [r for r in rows if r["n_chars"] > 60]
+    assert all(r["near_edited"] > r["near_next"] for r in longer)
+    order = sorted(dict(texts))
+    by_id = dict(texts)
+    for r in rows:  # estimates against exact cosines
+        following = by_id[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        assert abs(r["near_edited"] - cosine_by_hand(by_id[r["doc_id"]], edited[r["doc_id"]])) < 0.35
+        assert abs(r["near_next"] - cosine_by_hand(by_id[r["doc_id"]], following)) < 0.35
+    off = [r["near_edited"] - cosine_by_hand(by_id[r["doc_id"]], edited[r["doc_id"]]) for r in longer]
+    assert np.std(off) < 0.09
     by_text = {}
     for r in rows:
         by_text.setdefault(dict(texts)[r["doc_id"]], set()).add(r["fingerprint"])
@@ -96,11 +122,26 @@ def test_fingerprint_is_homomorphic(spark):
         fingerprint.printed(v(F.col("z"))).alias("z"),
     ).first()
     assert row["x"] == row["y"] == row["sum"] and row["difference"] == row["z"] != row["x"]
-    exact = [0] * 8
+    exact = [0] * 128
     for line in ("one", "two. three", "four"):
-        d = hashlib.sha256(line.encode()).digest()
-        exact = [(a + int.from_bytes(d[4 * i : 4 * i + 4], "big")) % 2**32 for i, a in enumerate(exact)]
-    assert row["x"].startswith("".join(f"{a:08x}" for a in exact))
+        d = b"".join(hashlib.sha512(f"{i}:{line}".encode()).digest() for i in range(8))
+        exact = [(a + zlib.crc32(d[4 * i : 4 * i + 4])) % 2**32 for i, a in enumerate(exact)]
+    assert row["x"].startswith(hashlib.sha256(",".join(map(str, exact)).encode()).hexdigest() + "-4-")
+
+
+def test_fingerprint_ignores_the_order_of_paragraphs(spark):
+    pairs = [("one.\n\ttwo", "\ttwo\none."), ("a b\r\n\x0b\n c d.", " c d.\na b\r"), ("x! y\nz w? v", "z w? v\n\t \nx! y")]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    shown = df.select(*[fingerprint.printed(fingerprint.vector(F.col(c))).alias(c) for c in "xy"]).collect()
+    assert all(r["x"] == r["y"] for r in shown) and len({r["x"] for r in shown}) == 3
+
+
+def test_fingerprint_likeness_of_texts_without_sentences(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 40)), "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 400)), "".join(chr(c) for c in rng.integers(97, 123, 700))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in fingerprint.edited_fingerprints(docs).collect():
+        assert r["near_edited"] > max(0.25, r["near_next"] + 0.15)
 
 
 def test_fingerprint_edge_rows(spark):
