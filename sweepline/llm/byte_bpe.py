@@ -5,11 +5,13 @@ neighbours are joined pairwise, up a tree. A join re-encodes a window around the
 outside of it. The window grows, doubling, until both its ends are proven cuts: a white-space character that
 follows a character other than white space always starts a match of the splitting pattern, whatever stands
 before, and matching from there on depends only on what follows. So tokens outside the window are those of
-the whole text, and the tree gives what one pass over the whole text gives. Decoding concatenates up the
-same kind of tree.
+the whole text, and the tree gives what one pass over the whole text gives. A part without a proven cut would be in
+the window whole, so it is not encoded before it meets one: a text without white space is encoded once. Decoding
+concatenates up the same kind of tree.
 
 Defined results: a null text is encoded as an empty one, which has no tokens; special-token strings are
-ordinary text; repeated rows keep their own rows; extra columns pass through.
+ordinary text; repeated rows keep their own rows; extra columns pass through. Where one has the name of an output
+column (tokens, decoded, n_tokens), that output's name ends in ``_``.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import bounded_batches, extended
+from sweepline.llm.common import bounded_batches, extended, free_name
 
 LEAF_CHARS = 1024
 FIRST_WINDOW = 32
 #: A proven cut lies before the white space of each match.
 CUT = re.compile(r"(?<=[^\s])[ \n]")
 
+NONE = np.zeros(0, dtype="<u4")
+
 _coders: dict[str, Coder] = {}
 
 
@@ -58,17 +62,26 @@ class Coder:
 
     def encode(self, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
         spans = [(a, min(a + leaf_chars, len(text))) for a in range(0, len(text), leaf_chars)]
-        level = [(a, b, self.leaf(text[a:b])) for a, b in spans]
+        if len(spans) < 2:
+            return self.leaf(text) if text else NONE
+        level = [(a, b, self.leaf(text[a:b]) if CUT.search(text, a + 1, b) else None) for a, b in spans]
         while len(level) > 1:
             paired = [self.join(text, *level[i : i + 2]) for i in range(0, len(level) - 1, 2)]
             level = paired + level[2 * len(paired) :]
-        return level[0][2] if level else np.zeros(0, dtype="<u4")
+        a, b, tokens = level[0]
+        return self.leaf(text[a:b]) if tokens is None else tokens
 
     def join(self, text: str, left: tuple, right: tuple) -> tuple:
-        """Two neighbouring (start, end, tokens) as one."""
+        """Two neighbouring (start, end, tokens) as one; tokens are None where the part has no proven cut."""
         a, seam, head = left
         _, b, tail = right
-        start, end = last_cut(text, a, seam), first_cut(text, seam, b)
+        start = a if head is None else last_cut(text, a, seam)
+        # the right part's first character may itself be a proven cut
+        end = b if tail is None else first_cut(text, seam, b)
+        if start == a and end == b and not CUT.search(text, a + 1, b):
+            return a, b, None
+        head = NONE if head is None else head
+        tail = NONE if tail is None else tail
         keep = self.tokens_of(head[::-1], len(text[start:seam].encode()))
         skip = self.tokens_of(tail, len(text[seam:end].encode()))
         window = self.leaf(text[start:end])
@@ -127,35 +140,34 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, leaf_char
     """docs with ``tokens`` in place of ``text``: the ids as little-endian unsigned 32-bit integers."""
     spark = bounded_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast((vocabulary, pattern))
-    kept = [c for c in docs.columns if c not in ("text", "tokens")]
+    kept = [c for c in docs.columns if c != "text"]
+    name = free_name("tokens", kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(*shared.value)
         for b in batches:
             tokens = [coder.encode(t or "", leaf_chars).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), pa.array(tokens, pa.binary())], [*kept, "tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(tokens, pa.binary())], [*kept, name])
 
     rows = docs.select(*kept, "text")
-    schema = extended(rows.drop("text").schema, tokens="binary")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.drop("text").schema, **{name: "binary"}))
 
 
-def decode_documents(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
-    """encoded (with ``tokens``) with ``decoded``, the bytes that the ids stand for."""
+def decode_documents(encoded: DataFrame, vocabulary: bytes, pattern: str, tokens: str = "tokens") -> DataFrame:
+    """encoded (with ids in ``tokens``) with ``decoded``, the bytes that the ids stand for; a null has none."""
     spark = bounded_batches(encoded.sparkSession)
     shared = spark.sparkContext.broadcast((vocabulary, pattern))
+    name = free_name("decoded", encoded.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(*shared.value)
         for b in batches:
-            ids = (np.frombuffer(t, dtype="<u4") for t in b.column("tokens").to_pylist())
+            ids = (np.frombuffer(t or b"", dtype="<u4") for t in b.column(tokens).to_pylist())
             decoded = pa.array([coder.decode(t) for t in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, decoded], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded], [*b.schema.names, name])
 
-    return encoded.mapInArrow(run, extended(encoded.schema, decoded="binary"))
+    return encoded.mapInArrow(run, extended(encoded.schema, **{name: "binary"}))
 
 
 def n_tokens(tokens: str = "tokens") -> Column:
-    return F.expr(f"octet_length({tokens}) div 4").cast("long")
+    return F.expr(f"octet_length(`{tokens}`) div 4").cast("long")

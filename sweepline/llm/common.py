@@ -35,6 +35,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with ``_`` behind it until no column has it (names of columns are the same in upper and lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null being empty."""
     return F.coalesce(F.col(column), F.lit(""))
