@@ -184,6 +184,31 @@ def test_chat_escapes_and_edge_rows(spark):
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_templates_are_declarative(spark):
+    roles = {"user": "U$er", "assistant": "Bot"}
+    template = chat_format.Template(open="[[", close="]:", end="$>\n", loss_roles=("user", "tool"), shown=roles, moves={("begin", "user"): "answered"})
+    texts = ["[[Bot]:", "$>", "$>\n[[U$er]:x", "]:", "\\$", "$", "[", "[[[", "$$>>", "", "### User: a</turn>\n"]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for r in ("user", "User", "U$er", "Bot", "", "]:", "a]", "[[", "$>\n", "\\x", "tool") for t in texts)]
+    rows += [(2, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(df, template)
+    found = {r["conv_id"]: r for r in chat_format.digests(made, template).collect()}
+    whole = "".join(f"{role}\n{text}\n" for _, _, role, text in rows[:-1])
+    loss = "".join(text for _, _, role, text in rows[:-1] if role in ("user", "tool"))
+    assert found[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and found[1]["n_turns"] == len(rows) - 1
+    assert found[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and not found[1]["valid"] and found[2]["valid"]
+    # with the production template a role of another's shown name stays itself
+    named = spark.createDataFrame([(1, 0, "User", "a"), (1, 1, "user", "b"), (1, 2, "### User: ", "c")], df.schema)
+    turns = chat_format.format_conversations(named).select(chat_format.read_back(F.col("formatted"), chat_format.Template()).alias("t")).first()["t"]
+    assert [tuple(t) for t in turns] == [("User", "a"), ("user", "b"), ("### User: ", "c")]
+
+
+@pytest.mark.parametrize("marks", [{"end": "aba"}, {"open": "x"}, {"close": ":\\"}, {"end": " </turn>"}, {"shown": {"a": "X", "b": "X"}}, {"shown": {"a": ": "}}, {"close": "n>\n"}])
+def test_chat_templates_that_cannot_be_read_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat_format.Template(**marks)
+
+
 def judged_by_hand(url, rules):
     host = path = ""
     if url and "://" in url:

@@ -47,7 +47,7 @@ def test_bpe_query_and_edge_rows(spark):
         ids = np.array(plain_ids(texts[r["doc_id"]]), dtype="<u4")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
-    edge = byte_bpe.decode_documents(byte_bpe.encode_documents(edge_docs(spark), *VOCABULARY), *VOCABULARY)
+    edge = byte_bpe.decode_documents(byte_bpe.encode_documents(edge_docs(spark), *VOCABULARY), *VOCABULARY, "tokens_")
     source = edge_docs(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).collect()
     assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in edge.collect()) == sorted(
         (r["doc_id"] or -1, r["t"].encode()) for r in source
@@ -56,6 +56,26 @@ def test_bpe_query_and_edge_rows(spark):
     assert isinstance(CODER.plain, tiktoken.Encoding)
 
 
+def test_bpe_encodes_texts_without_cuts_once(monkeypatch):
+    done = []
+    leaf = byte_bpe.Coder.leaf
+    monkeypatch.setattr(byte_bpe.Coder, "leaf", lambda self, text: (done.append(len(text)), leaf(self, text))[1])
+    for text in ("x" * 50_000, "你好" * 9_000, "ab1" * 9_000 + " c" + "d" * 9_000):
+        done.clear()
+        assert CODER.encode(text).tolist() == plain_ids(text)
+        assert sum(done) <= 2 * len(text)
+
+
+def test_bpe_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", "own", "own", 7), (2, None, None, "x", None)], "doc_id long, text string, tokens string, Decoded string, n_tokens int")
+    encoded = byte_bpe.encode_documents(docs, *VOCABULARY)
+    assert encoded.columns == ["doc_id", "tokens", "Decoded", "n_tokens", "tokens_"]
+    decoded = byte_bpe.decode_documents(encoded, *VOCABULARY, "tokens_")
+    rows = {r["doc_id"]: r for r in decoded.collect()}
+    assert bytes(rows[1]["decoded_"]) == b"a text" and bytes(rows[2]["decoded_"]) == b""
+    assert [tuple(rows[i])[1:4] for i in (1, 2)] == [("own", "own", 7), (None, "x", None)]
+
+
 def edited_by_hand(rows):
     """(doc_id, text) in any order, ids once each -> doc_id: edited text."""
     rows = sorted(rows)
