@@ -31,10 +31,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node that has an edge; component is the smallest node reachable.
+    """(node, component) of every node that has an edge, as a written table; component is the smallest node reachable.
 
     edges has two columns of one orderable type. Loops, repeated edges and edges with a null end are
-    ignored. No edges give an empty table.
+    ignored. No edges give an empty table. Rounds grow with the logarithm of the longest path; more than ``max_rounds``
+    end in RuntimeError.
     """
     spark = edges.sparkSession
     a, b = edges.columns
@@ -58,4 +59,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found, _ = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    discard(spark, path)
+    return found

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import urllib.parse
 from collections import defaultdict
 
 import numpy as np
@@ -244,6 +245,9 @@ def test_url_aliases(spark):
         (9, "http://net/es/", ""),
         (9, "http://net/es/", ""),
         (10, "http://x.net", link.format("http://x.net/es/q")),
+        (11, "HTTP://R.org/a/b?c", "<link rel='stylesheet canonical' href=d>" + link.format("../e")),
+        (12, "http://r.ORG/a/d#f", link.format("http://q.net/fr/")),
+        (13, "http://r.org/e", ""),
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
     extra = spark.createDataFrame([("http://c.org/y", "http://x.net/es/z")], "url string, target string")
@@ -253,9 +257,57 @@ def test_url_aliases(spark):
     assert found[4] == found[5] == (None, "allow")  # an allowed member outweighs a blocked one
     assert found[6] == found[10] == (None, "block") and found[9] == ("net/es/", "block")
     assert found[7] == found[8] == (None, "allow")
+    assert found[11] == found[12] == found[13] == (None, "block")  # relative links, several tags, other spellings
     assert url_filter.filter_urls(df.where("false")).count() == 0
 
 
+def spelled_by_hand(url):
+    if not url or not re.match(r"[^:/?#]+://", url):
+        return None
+    scheme, rest = url.split("://", 1)
+    host, path, query = re.match(r"([^/?#]*)([^?#]*)(\?[^#]*)?", rest, re.S).groups()
+    return f"{scheme.lower()}://{host.lower()}{path or '/'}{query or ''}"
+
+
+def test_url_aliases_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    hosts = [*(f"{s}{i}.org" for s in "sS" for i in range(30)), "www.example.com", *["x.Example.com", "c.net", "shop.net"] * 4]
+    paths = ["", "/", "/en/", "/en/a/b", "/es/1", "/fr/", "/x/../y", "/q?z=1", "/q?z=2#f"]
+    links = ["b", "../c", "./", "?z=1", "#top", "//s1.org/en/", "/es/1", "HTTP://C.net/es/", "mailto:me@x.net", "http://shop.NET/fr/"]
+    pick = lambda some: str(some[rng.integers(len(some))])
+    pages = []
+    for i in range(120):
+        url = f"http://{pick(hosts)}{pick(paths)}"
+        made = [pick(links) if rng.random() < 0.5 else f"http://{pick(hosts)}{pick(paths)}" for _ in range(int(rng.integers(0, 2)))]
+        tags = [f'<link rel="canonical" href="{t}">' if rng.random() < 0.6 else f"<META content='0; URL={t}' HTTP-EQUIV=refresh>" for t in made]
+        pages.append((i, url, "<link rel='icon' href='/en/i.png'>" + "".join(tags), made))
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for _, url, _, made in pages:
+        for t in made:
+            a, b = spelled_by_hand(url), spelled_by_hand(urllib.parse.urljoin(url, t))
+            if b:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    verdicts = defaultdict(set)
+    for node in list(root):
+        verdicts[top(node)].add(judged_by_hand(node, url_filter.RULES)[3])
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    acted = 0
+    for i, url, _, _ in pages:
+        host, path, rule, verdict = judged_by_hand(url, url_filter.RULES)
+        spread = verdicts[top(spelled_by_hand(url))] if spelled_by_hand(url) in root else set()
+        expected = verdict or ("allow" if "allow" in spread else "block" if "block" in spread else "allow")
+        assert (found[i]["host"], found[i]["path"], found[i]["rule"], found[i]["verdict"]) == (host, path, rule, expected)
+        acted += verdict is None and expected == "block"
+    assert acted > 3
+
+
 def test_pipeline_stages(spark):
     docs = sample_docs(spark)
     wide = docs.withColumns({"slot": F.lit(1), "score": F.lit(2), "kept": F.lit(3)}).unionByName(docs.limit(3), True)
