@@ -6,7 +6,7 @@ paragraph is inserted or deleted by adding or subtracting its vector. At 4,096 b
 sums is as hard as one on a 128-bit hash.
 
 For likeness, each paragraph is cut into pieces (words, long ones every 12 characters), and each piece with the one before
-it in the paragraph is an element. Hashes spread elements over eight groups of 32 counters modulo 2^32, and add 32 bits
+it in the paragraph is an element. Hashes spread elements over four groups of 64 counters modulo 2^32, and add 64 bits
 each to their group's. Twice a counter minus the group's elements is a random +1/-1 sum, so the cosine of two such
 vectors estimates the cosine of the documents' element counts, with a noise of about 0.06. Elements lie inside paragraphs,
 so these sums don't depend on the order of paragraphs either.
@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 
 from sweepline.llm.common import sha256_hex, text_of, written
 
-DIGESTS, GROUPS = 8, 8
+DIGESTS, GROUPS = 8, 4
 MASK = (1 << 32) - 1
-PAIR = 1 | 1 << 32
+NIBBLES, PAIRS = 0x1111111111111111, 15 | 15 << 32
 PIECE = r"(\S{1,12})"
 
 
@@ -46,7 +46,7 @@ def _exact(lines: Column) -> Column:
     """
     digests = lambda i: F.transform(lines, lambda x: F.unhex(F.sha2(F.encode(F.concat(i.cast("string"), F.lit(":"), x), "UTF-8"), 512)))
     number = lambda d, j: F.crc32(F.substr(d, j * 4 + 1, F.lit(4)))
-    of = lambda ds: F.transform(_numbers(16), lambda j: F.aggregate(ds, F.lit(0).cast("long"), lambda a, d: (a + number(d, j)).bitwiseAND(MASK)))
+    of = lambda ds: F.transform(_numbers(16), lambda j: F.aggregate(ds, F.lit(0).cast("long"), lambda a, d: a + number(d, j), lambda a: a.bitwiseAND(MASK)))
     return F.flatten(F.transform(F.transform(_numbers(DIGESTS), digests), of))
 
 
@@ -58,16 +58,21 @@ def _elements(lines: Column) -> Column:
 
 
 def _counters(elements: Column) -> Column:
-    """Of each group: n, and 16 sums that hold two counters each."""
+    """Of each group: n, and 32 sums that hold two counters each.
+
+    Bits are added 16 at a time in fields of 4 bits, over blocks of 7 elements (so that no sum reaches the sign), and these sums then in fields of 32 bits.
+    """
+    shifted = lambda h, i: F.call_function("shiftrightunsigned", h, i)
+    nibbles = lambda block, i: F.aggregate(block, F.lit(0).cast("long"), lambda a, h: a + shifted(h, i).bitwiseAND(F.lit(NIBBLES)))
+    blocks = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 7).cast("int")), lambda b: F.slice(own, b * 7 + 1, F.lit(7)))
+    fields = lambda sums: F.transform(F.sequence(F.lit(0), F.lit(28), F.lit(4)), lambda i: F.aggregate(sums, F.lit(0).cast("long"), lambda a, x: a + shifted(x, i).bitwiseAND(F.lit(PAIRS))))
+    wide = lambda bs: F.flatten(F.transform(_numbers(4), lambda i: F.transform(F.array(F.transform(bs, lambda block: nibbles(block, i))), fields)[0]))
     of = lambda own: F.struct(
         F.size(own).cast("long").alias("n"),
-        F.transform(
-            _numbers(16),
-            lambda i: F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(PAIR))),
-        ).alias("bits"),
+        F.when(F.size(own) == 0, F.array_repeat(F.lit(0).cast("long"), 32)).otherwise(F.transform(F.array(blocks(own)), wide)[0]).alias("bits"),
     )
-    # the last bits choose the group, the first 16 of each half count
-    group = lambda g: F.filter(elements, lambda h: F.shiftrightunsigned(h, 61) == g)
+    # a hash of the hash chooses the group, so that all 64 bits are free to count
+    group = lambda g: F.filter(elements, lambda h: F.pmod(F.hash(h), F.lit(GROUPS)) == g)
     return F.transform(F.transform(_numbers(GROUPS), group), of)
 
 
@@ -103,15 +108,15 @@ def printed(v: Column) -> Column:
     )
 
 
-def signs(v: Column) -> Column:
-    """struct<s array<double>, norm>: the +1/-1 sums of a vector and their square."""
+def signs(groups: Column) -> Column:
+    """struct<s array<double>, norm>: the +1/-1 sums of a vector's groups and their square."""
     of = lambda g: F.flatten(
         F.array(
             F.transform(g["bits"], lambda a: (2 * a.bitwiseAND(MASK) - g["n"]).cast("double")),
             F.transform(g["bits"], lambda a: (2 * F.shiftrightunsigned(a, 32) - g["n"]).cast("double")),
         )
     )
-    sums = F.flatten(F.transform(v["groups"], of))
+    sums = F.flatten(F.transform(groups, of))
     square = lambda s: F.aggregate(s, F.lit(0.0), lambda t, p: t + p * p)
     return F.transform(F.array(sums), lambda s: F.struct(s.alias("s"), square(s).alias("norm")))[0]
 
@@ -153,25 +158,27 @@ def predecessors(lengths: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, head, next_vector: the next document's first floor(n_chars / 2) code points and its vector."""
+    """doc_id, text, head, fingerprint, groups: the next document's first floor(n_chars / 2) code points, fingerprint and counters."""
     own = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), text_of().alias("text"))
     lengths = own.groupBy("key").agg(F.max(F.expr("length(text) div 2")).alias("wanted"))
     before = predecessors(lengths)
     heads = (
         own.join(before, "key")
+        .select("doc_id", "text", "before", "wanted", vector(F.col("text")).alias("v"))
         .select(
             F.col("before").alias("key"),
             F.struct(
-                F.substr("text", F.lit(1), F.col("wanted").cast("int")).alias("head"),
                 F.xxhash64("text").alias("h"),
-                vector(F.col("text")).alias("next_vector"),
+                F.substr("text", F.lit(1), F.col("wanted").cast("int")).alias("head"),
+                printed(F.col("v")).alias("fingerprint"),
+                "v.groups",
                 "doc_id",  # so that both joins read one shuffle of the texts
             ).alias("following"),
         )
         .groupBy("key")
         .agg(F.min("following").alias("following"))
     )
-    return own.join(heads, "key").select("doc_id", "text", "following.head", "following.next_vector")
+    return own.join(heads, "key").select("doc_id", "text", "following.head", "following.fingerprint", "following.groups")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -184,13 +191,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             F.substr("text", F.lit(1), F.length("text") - half.cast("int")), F.substr("head", F.lit(1), half.cast("int"))
         ).alias("edited"),
         vector(F.col("text")).alias("v"),
-        "next_vector",
+        F.col("fingerprint").alias("next_fingerprint"),
+        "groups",
     )
-    own, edited, following = F.col("v"), F.col("e"), F.col("next_vector")
-    seen = rows.select("doc_id", "n_chars", "v", "next_vector", vector(F.col("edited")).alias("e"), sha256_hex(F.col("edited")).alias("edited_sha256"))
+    own, edited = F.col("v"), F.col("e")
+    seen = rows.withColumns({"e": vector(F.col("edited")), "edited_sha256": sha256_hex(F.col("edited"))}).drop("edited")
     shown = seen.select(
-        "doc_id", "n_chars", "edited_sha256", printed(own).alias("fingerprint"), printed(edited).alias("edited_fingerprint"),
-        printed(following).alias("next_fingerprint"), signs(own).alias("s"), signs(edited).alias("se"), signs(following).alias("sn"),
+        "doc_id", "n_chars", "edited_sha256", printed(own).alias("fingerprint"), printed(edited).alias("edited_fingerprint"), "next_fingerprint",
+        signs(own["groups"]).alias("s"), signs(edited["groups"]).alias("se"), signs(F.col("groups")).alias("sn"),
     )
     return shown.select(
         "doc_id",
