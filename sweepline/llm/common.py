@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +24,35 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables of written() inside of this go when it ends; result() writes what stays."""
+    path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _folders.set((*_folders.get(), path))
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        discard(spark, path)
+
+
+def written(df: DataFrame, name: str, outside: int = 0) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and the table's path."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folders = (scratch_root(spark), *_folders.get())
+    path = f"{folders[max(0, len(folders) - 1 - outside)]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def result(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that outlives the innermost scratch()."""
+    return written(df, name, 1)[0]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of written() that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

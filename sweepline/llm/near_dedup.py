@@ -4,8 +4,8 @@ A document's set holds its distinct five-word shingles as 64-bit hashes. Its sig
 each. The signature distance of two documents is the number of unequal minima, whose mean is K * (1 - J) at
 Jaccard similarity J. With M chunks and at most D unequal minima, some chunk has at most D // M (pigeonhole),
 so each chunk is looked up with every choice of that many of its minima left out: documents within distance
-D of each other always share such a key. D is set so that a pair at the link threshold stays within it but
-for about one time in 10^5. Members of a bucket are then compared, inside the join that brings them together,
+D of each other always share such a key. D follows from the link threshold: a pair at the threshold stays within it but
+for one time in 10^5 (less far above it), and M from D, so that one minimum is left out. Members of a bucket are then compared, inside the join that brings them together,
 by their sizes and by longer signatures of one bit a minimum, whose distance has such a threshold too; so
 only pairs that are close to the link threshold come out. Links are confirmed on the full sets.
 
@@ -20,8 +20,8 @@ members that share r's words but not each other's edits never meet. Keys of one
 pair is made.
 
 Defined results: a null text is empty; a document without words has an empty set, component itself, and is
-kept; rows that repeat a doc_id are one document (its set sizes stay their own); a null doc_id links nothing,
-has a null component and is kept. Extra columns are ignored.
+kept; rows that repeat a doc_id are one document that has the links of all its texts (set sizes stay the rows' own); a
+null doc_id links nothing, has a null component and is kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,36 +29,59 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import bounded_batches, discard, written
+from sweepline.llm.common import bounded_batches, discard, result, scratch, written
 from sweepline.llm.components import connected_components
 
 
+def most_unequal(trials: int, chance: float, missed: float) -> int:
+    """The least D that a binomial number of unequal ones exceeds with a probability of ``missed`` at most."""
+    tail = 1.0
+    for d in range(trials):
+        tail -= comb(trials, d) * chance**d * (1 - chance) ** (trials - d)
+        if tail <= missed:
+            return d
+    return trials
+
+
 @dataclass(frozen=True)
 class Parameters:
     words: int = 5
     #: links: 100 * intersection >= percent * union
     percent: int = 85
     minima: int = 96
-    chunks: int = 16
-    distance: int = 31
+    #: how often a pair at the threshold may be further apart than each of the two signature distances allows
+    missed: float = 1e-5
     #: rounds against representatives, and with how many of them a node is confirmed in each
     star_rounds: int = 2
     partners: int = 4
-    #: one-bit minima, in words of 64, that members of a shared bucket are compared by, and the most unequal ones
+    #: one-bit minima, in words of 64, that members of a shared bucket are compared by
     words_of_bits: int = 16
-    unequal_bits: int = 116
     seed: int = 20_26
 
+    @property
+    def distance(self) -> int:
+        return most_unequal(self.minima, 1 - self.percent / 100, self.missed)
+
+    @property
+    def chunks(self) -> int:
+        return self.distance // 2 + 1
+
     @property
     def errors(self) -> int:
         return self.distance // self.chunks
 
+    @property
+    def unequal_bits(self) -> int:
+        """Half of all unequal minima differ in their one bit."""
+        return most_unequal(64 * self.words_of_bits, (1 - self.percent / 100) / 2, self.missed)
+
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -124,7 +147,7 @@ def signature(shingles: np.ndarray, minima: int, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, p: Parameters) -> DataFrame:
-    """doc_id, n_shingles, sequence (digest of the lower-cased words), signature (array<int>) of every row."""
+    """doc_id, n_shingles, sequence (digest of the lower-cased words), signature (16 bits a minimum) and text_hash of every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +159,12 @@ def sketches(docs: DataFrame, p: Parameters) -> DataFrame:
                 sequences.append(hashlib.blake2b(joined, digest_size=16).digest() if len(shingles) else None)
                 signatures.append(signature(shingles, p.minima, p.seed).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sequences, pa.binary()), pa.array(signatures, pa.binary())],
-                ["doc_id", "n_shingles", "sequence", "signature"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sequences, pa.binary()), pa.array(signatures, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "sequence", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, sequence binary, signature binary"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, sequence binary, signature binary"
     )
 
 
@@ -340,44 +363,45 @@ def near_links(members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text), as a written table."""
+    with scratch(docs.sparkSession):
+        found = result(placed_rows(docs.select("doc_id", "text"), p), "near-duplicates")
+    # a document with words stays under its own id only; one without words, or without an id, is kept
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def placed_rows(docs: DataFrame, p: Parameters) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; reads tables of its own."""
     sketched, _ = written(sketches(docs, p), "near-sketches")
     known = sketched.where("sequence is not null and doc_id is not null")
-    classes = known.groupBy("sequence").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-    classes, classes_at = written(
-        classes.select("sequence", F.col("first.doc_id").alias("node"), F.col("first.signature").alias("signature")),
+    # a node is a word sequence; its number is its own, as several nodes may have one doc_id as their least
+    classes = known.groupBy("sequence").agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("first"))
+    classes, _ = written(
+        classes.select("sequence", "first.doc_id", "first.text_hash", "first.signature", F.monotonically_increasing_id().alias("node")),
         "near-classes",
     )
     keys = bucket_keys(classes, p)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members, members_at = written(central(keys.join(shared, "key").distinct()), "near-members")
-    wanted = members.select("node").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    nodes, nodes_at = written(with_bits(texts, p), "near-nodes")
+    members, _ = written(central(keys.join(shared, "key").distinct()), "near-members")
+    wanted = classes.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node")
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+    texts = rows.groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    nodes, _ = written(with_bits(texts, p), "near-nodes")
     links = near_links(members, nodes, p)
-    # rows that repeat a doc_id with other words are one document: they link their classes
+    # rows that repeat a doc_id with other words are one document: their nodes are linked
     repeated = (
         known.groupBy("doc_id")
         .agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"))
         .where("low <> high")
         .select("doc_id")
     )
-    joining = (
-        known.join(repeated, "doc_id")
-        .join(classes.select("sequence", "node"), "sequence")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
-    component, _ = written(connected_components(links.unionByName(joining)), "near-components")
-    for path in (members_at, nodes_at):
-        discard(spark, path)
-    placed = classes.join(component, "node", "left").select(
-        "sequence", F.coalesce("component", "node").alias("component_id")
-    )
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (
-        sketched.select("doc_id", "n_shingles", "sequence")
-        .join(placed, "sequence", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    several = known.select("doc_id", "sequence").join(repeated, "doc_id").join(classes.select("sequence", "node"), "sequence")
+    least = several.groupBy("doc_id").agg(F.min("node").alias("a"))
+    joining = several.join(least, "doc_id").select("a", F.col("node").alias("b"))
+    component = connected_components(links.unionByName(joining))
+    least = classes.select("node", "doc_id").join(component, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = component.join(least, "component").select("node", "component_id")
+    placed = classes.join(named, "node", "left").select("sequence", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = known.select("doc_id", "n_shingles", "sequence").join(placed, "sequence").select("doc_id", "n_shingles", "component_id")
+    others = sketched.where("sequence is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(others)
