@@ -9,11 +9,13 @@ that have the same block counts share one schedule. There are at most two such k
 source, so schedules are few however many rows there are.
 
 Positions in a source come from counts of salted parts, never from one window over a source: a source may
-hold a third of all rows. All rows are kept; a source that ends leaves its slots to the others.
+hold a third of all rows. A part that many rows of one doc_id make large is cut again. All rows are kept; a source that
+ends leaves its slots to the others. A frame's schedule costs its slots times its sources: this is meant for tens to
+hundreds of sources, not for a source a web domain.
 
 Defined results: a null source is a source of its own, named ``(null)``; an unlisted source has the default
-share; rows that repeat a doc_id or have a null one are rows of their own; texts and other columns play no
-part. An empty table gives no rows.
+share; shares are positive whole numbers, others are refused; rows that repeat a doc_id or have a null one are rows of
+their own; texts and other columns play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sweepline.llm.common import written
+from sweepline.llm.common import result, scratch, written
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,17 @@ class Parameters:
     shares: Mapping[str, int] = field(default_factory=lambda: {"src0": 6, "src1": 3, "src2": 2})
     default_share: int = 1
 
+    def __post_init__(self) -> None:
+        for n in (self.block, self.default_share, *self.shares.values()):
+            if not isinstance(n, int) or n < 1:
+                raise ValueError(f"blocks and shares are positive whole numbers, not {n!r}")
+
+    def share_of(self, source: Column) -> Column:
+        share = F.lit(self.default_share)
+        for name, s in sorted(self.shares.items()):
+            share = F.when(source == name, s).otherwise(share)
+        return share
+
 
 NULL_SOURCE = "(null)"
 
@@ -44,44 +57,46 @@ NULL_SOURCE = "(null)"
 def ranked(docs: DataFrame, p: Parameters) -> DataFrame:
     """doc_id, source and rank (from 0) in the source, in an order that hashes of doc_id fix."""
     named = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)).alias("source"))
-    rows, _ = written(named, "mix-rows")
-    order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
+    # numbers tell repeated rows apart; they are written, so they stay as they are
+    rows, _ = written(named.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    order = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
     parts = F.ceil(F.sqrt("n"))  # so neither a part nor the list of parts is large
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
     # the order's range is cut into as many equal parts as the source's size asks for
     part = F.floor((order.cast("double") / 2.0**64 + 0.5) * parts)
-    cut = rows.join(sizes, "source").select("doc_id", "source", part.alias("part"), order.alias("h"))
-    counts = cut.groupBy("source", "part").agg(F.count("*").alias("rows"))
+    cut = rows.join(sizes, "source").select("doc_id", "source", "row", part.alias("part"), parts.alias("parts"), order.alias("h"))
+    # rows of one doc_id share a part, so a large part is cut by row number
+    large = cut.groupBy("source", "part").agg(F.ceil(F.count("*") / (4 * F.max("parts"))).alias("cuts"))
+    cut = cut.join(large, ["source", "part"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("cuts"))).drop("cuts", "parts")
+    counts = cut.groupBy("source", "part", "sub").agg(F.count("*").alias("rows"))
     before = counts.select(
         "source",
         "part",
-        (F.sum("rows").over(Window.partitionBy("source").orderBy("part")) - F.col("rows")).alias("before"),
-    )
-    inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", "doc_id")) - 1
-    return cut.withColumn("inside", inside).join(before, ["source", "part"]).select(
-        "doc_id", "source", (F.col("before") + F.col("inside")).alias("rank")
+        "sub",
+        (F.sum("rows").over(Window.partitionBy("source").orderBy("part", "sub")) - F.col("rows")).alias("before"),
     )
+    inside = F.row_number().over(Window.partitionBy("source", "part", "sub").orderBy("h", "doc_id", "row")) - 1
+    found = cut.withColumn("inside", inside).join(before, ["source", "part", "sub"])
+    return found.select("doc_id", "source", (F.col("before") + F.col("inside")).alias("rank"))
 
 
 def frame_kinds(sizes: DataFrame, p: Parameters) -> DataFrame:
-    """kind, first, frames, slots, due: runs of frames that hold the same numbers of blocks of each source.
+    """first, frames, slots, due, before: runs of frames that hold the same numbers of blocks of each source.
 
-    sizes: (source, blocks). due: array<struct<source, k>>. One small row set for each source.
+    sizes: (source, blocks). due: array<struct<source, k>>. Windows and joins here hold a few rows for each source.
     """
-    share = F.lit(p.default_share)
-    for name, s in sorted(p.shares.items()):
-        share = F.when(F.col("source") == name, s).otherwise(share)
-    sized = sizes.withColumn("share", share)
-    ends = sized.select(
-        F.explode(F.array(F.lit(0).cast("long"), F.floor(F.expr("blocks / share")), F.ceil(F.expr("blocks / share")))).alias("first")
-    ).distinct()
+    sized = sizes.withColumn("share", p.share_of(F.col("source"))).withColumn("last", F.ceil(F.expr("blocks / share")))
+    ends = sized.select(F.explode(F.array(F.lit(0).cast("long"), F.floor(F.expr("blocks / share")), F.col("last"))).alias("first")).distinct()
     # the last of these ends the last frame
-    following = F.lead("first").over(Window.orderBy("first"))  # at most three rows for each source
-    runs = ends.select("first", (following - F.col("first")).alias("frames")).where("frames > 0")
+    in_order = Window.orderBy("first")  # at most three rows for each source
+    runs = ends.select("first", (F.lead("first").over(in_order) - F.col("first")).alias("frames"), (F.row_number().over(in_order) - 1).cast("long").alias("kind"))
+    # a source is due in all runs before its last frame's end
+    upto = sized.join(runs.select(F.col("first").alias("last"), F.col("kind").alias("kinds")), "last")
+    active = upto.withColumn("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kinds") - 1)))
     k = F.least(F.col("share"), F.col("blocks") - F.col("first") * F.col("share"))
-    due = runs.join(F.broadcast(sized), F.expr("blocks > first * share"))
     return (
-        due.select("first", "frames", "source", k.cast("long").alias("k"))
+        active.join(runs.where("frames > 0"), "kind")
+        .select("first", "frames", "source", k.cast("long").alias("k"))
         .groupBy("first", "frames")
         .agg(F.sort_array(F.collect_list(F.struct("source", "k"))).alias("due"), F.sum("k").alias("slots"))
         .withColumn("before", F.sum(F.expr("frames * slots")).over(Window.orderBy("first")) - F.expr("frames * slots"))
@@ -124,10 +139,16 @@ def earliest_deadline_first(due: Column, slots: Column) -> Column:
 
 
 def mix(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """doc_id, source, block (from 0, in its source), slot (from 0) and place (from 0, in its block) of every row.
+    """doc_id, source, block (from 0, in its source), slot (from 0) and place (from 0, in its block) of every row, as a written table.
 
     Reading by (slot, place) gives the mixture.
     """
+    with scratch(docs.sparkSession):
+        return result(slotted(docs, p), "mix-slots")
+
+
+def slotted(docs: DataFrame, p: Parameters) -> DataFrame:
+    """The rows of mix(); reads tables of its own."""
     placed = ranked(docs, p).select(
         "doc_id", "source", F.expr(f"rank div {p.block}").alias("block"), F.expr(f"rank % {p.block}").alias("place")
     )
@@ -145,12 +166,11 @@ def mix(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     schedule = ran.select(
         F.col("b.source").alias("source"), (F.col("b.i") - 1).alias("nth"), "first", "frames", "slots", "before", "at"
     )
-    share = F.lit(p.default_share)
-    for name, s in sorted(p.shares.items()):
-        share = F.when(F.col("source") == name, s).otherwise(share)
-    frame = placed.withColumn("share", share).withColumn("frame", F.expr("block div share")).withColumn("nth", F.expr("block % share"))
     # schedule rows: two kinds of frame a source at most, so the condition on frames leaves one row
     runs = schedule.groupBy("source", "nth").agg(F.collect_list(F.struct("first", "frames", "slots", "before", "at")).alias("runs"))
+    runs, _ = written(runs, "mix-runs")
+    share = p.share_of(F.col("source"))
+    frame = placed.withColumn("share", share).withColumn("frame", F.expr("block div share")).withColumn("nth", F.expr("block % share"))
     joined = frame.join(runs, ["source", "nth"])
     run = F.filter("runs", lambda r: (r["first"] <= F.col("frame")) & (F.col("frame") < r["first"] + r["frames"]))[0]
     return joined.withColumn("run", run).select(
