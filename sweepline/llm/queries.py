@@ -65,7 +65,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("parts", F.array_join("parts", ","))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("parts", "notices")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
