@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import bounded_batches, discard, text_of, written
+from sweepline.llm.common import bounded_batches, discard, result, scratch, text_of, written
 
 TOKEN = re.compile(r"[^\W_]+")
 EDGE, OTHER = 0, 1
@@ -219,9 +219,13 @@ def fit(docs: DataFrame, p: Parameters = Parameters()) -> Model:
     words, endings = vocabulary(docs, p)
     counts, path = written(triple_counts(docs, words, endings, p), "lm-triples")
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 17))
-    net = train(counts, p)
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(1 << 17))
+    try:
+        net = train(counts, p)
+    finally:
+        spark.conf.set(rows, before)
     discard(spark, path)
     return Model(words, endings, net.flat, p)
 
@@ -291,14 +295,16 @@ def word_table(members: DataFrame, p: Parameters) -> DataFrame:
 
 
 def score_corpus(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """Train on the corpus and score each of its documents: score_documents(), with the words given their classes."""
-    found, _ = written(scored(docs, fit(docs, p), True).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    words, _ = written(word_table(member_rows(found), p), "lm-words")
-    each = member_rows(found).join(words, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("inside"))
-    total = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
-    return found.drop("members").join(each, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        total.alias("log_likelihood"),
-        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
-    )
+    """Train on the corpus and score each of its documents: score_documents(), with the words given their classes. A written table."""
+    with scratch(docs.sparkSession):
+        found, _ = written(scored(docs, fit(docs, p), True).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+        words, _ = written(word_table(member_rows(found), p), "lm-words")
+        each = member_rows(found).join(words, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("inside"))
+        total = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
+        rows = found.drop("members").join(each, "row", "left").select(
+            "doc_id",
+            "n_tokens",
+            total.alias("log_likelihood"),
+            F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
+        )
+        return result(rows, "lm-scores")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from sweepline.llm.common import bounded_batches, discard, extended, text_of, written
 
 WORD = re.compile(r"[^\W\d_]+")
+CLASSES = ("ordinary", "toxic")
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ class Model:
     def both_ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """ratios(), and those of the words by continuation alone."""
         unseen = self.lower.shape[1] - 1
-        at = np.array([self.words.get(w, unseen) for w in ["", *WORD.findall(text.lower())]], dtype=np.int64)
+        at = np.array([self.words.get(w, unseen) for w in ["", *words_of(text)]], dtype=np.int64)
         before, word = at[:-1], at[1:]
         key = before * (unseen + 1) + word
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -105,17 +107,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Parameters) -> DataFr
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, for the counts and for the scores alike."""
+    return WORD.findall(text.lower())
+
+
 def bigram_counts(sample: DataFrame) -> DataFrame:
     """v, w, ordinary, toxic: how often each word follows each word (the empty one at a text's start) in each class."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
-    pairs = sample.select(
-        (F.col("toxic") > 0).cast("long").alias("toxic"),
-        F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("v"), words.alias("w"))).alias("x"),
-    ).select("toxic", "x.v", "x.w")
-    return pairs.where("w is not null").groupBy("v", "w").agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
-
+    bounded_batches(sample.sparkSession)
 
-CLASSES = ("ordinary", "toxic")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: tuple[Counter, Counter] = Counter(), Counter()
+            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                found[int(toxic > 0)].update(zip(["", *words], words, strict=False))
+            pairs = sorted(found[0].keys() | found[1].keys())
+            columns = [[v for v, _ in pairs], [w for _, w in pairs], *([f[x] for x in pairs] for f in found)]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["v", "w", *CLASSES])
+
+    each = sample.select("toxic", text_of().alias("text")).mapInArrow(run, "v string, w string, ordinary long, toxic long")
+    return each.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in CLASSES])
 
 
 def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
