@@ -1,6 +1,7 @@
 """Near-dedup, mixing, toxicity, chat format, URL filters and the pipeline against brute force."""
 
 import hashlib
+import math
 import re
 import urllib.parse
 from collections import defaultdict
@@ -77,6 +78,26 @@ def test_near_dedup_edge_rows(spark):
     assert near_dedup.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_near_dedup_links_every_text_of_a_repeated_doc_id(spark):
+    rng = np.random.default_rng(6)
+    one, two, three = ([f"{c}{x}" for x in rng.integers(0, 10**6, 101)] for c in "abc")
+    near = [*two[:50], "other", *two[51:]]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(near)), (3, " ".join(three)), (0, " ".join([*one[:-1], "end"])), (1, None)]
+    found = defaultdict(set)
+    for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].add((r["n_shingles"], r["component_id"]))
+    assert found[2] == {(97, 0)} and found[0] == {(97, 0)} and found[3] == {(97, 3)}
+    assert found[1] == {(97, 0), (0, 1)}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_distances_follow_from_the_threshold(percent):
+    p = near_dedup.Parameters(percent=percent)
+    tail = lambda n, c, d: 1 - sum(math.comb(n, i) * c**i * (1 - c) ** (n - i) for i in range(d + 1))
+    assert tail(96, 1 - percent / 100, p.distance) <= 1e-5 < tail(96, 1 - percent / 100, p.distance - 1)
+    assert tail(1024, (1 - percent / 100) / 2, p.unequal_bits) <= 1e-5 and p.errors == 1
+
+
 def test_keys_meet_within_the_distance(spark):
     """Pigeonhole: any two signatures within the distance share a key."""
     rng = np.random.default_rng(1)
@@ -127,6 +148,46 @@ def test_mix_keeps_every_row_within_a_block(spark, shares):
         assert all(abs(done[s] - n * share[s] / all_shares) < 1 for s in total)
 
 
+def test_mix_query(spark):
+    """The registered query: whole blocks, in every frame less than a block from the target, all rows once."""
+    p = mixing.Parameters()
+    rows = queries.op6_mix(spark, SF).collect()
+    docs = sample_docs(spark)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r["slot"]].append(r)
+    assert sorted(blocks) == list(range(len(blocks)))
+    left = {r["source"] or mixing.NULL_SOURCE: -(-r["count"] // p.block) for r in docs.groupBy("source").count().collect()}
+    share = {s: p.shares.get(s, p.default_share) for s in left}
+    slot, seen = 0, defaultdict(int)
+    while any(left.values()):  # frame by frame, by hand
+        due = {s: min(share[s], n) for s, n in left.items() if n}
+        size, done = sum(due.values()), defaultdict(int)
+        for n in range(1, size + 1):
+            (source,) = {r["source"] for r in blocks[slot]}
+            assert {r["block"] for r in blocks[slot]} == {seen[source]}
+            assert sorted(r["place"] for r in blocks[slot]) == list(range(len(blocks[slot])))
+            done[source] += 1
+            seen[source] += 1
+            slot += 1
+            assert all(abs(done[s] - n * k / size) < 1 for s, k in due.items())
+        for s, k in due.items():
+            assert done[s] == k
+            left[s] -= k
+    assert slot == len(blocks)
+
+
+def test_mix_hot_keys_and_shares(spark):
+    rows = [(None, "a")] * 400 + [(7, "a")] * 400 + [(i, "a") for i in range(400)] + [(i, "b") for i in range(50)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), mixing.Parameters(block=4)).collect()
+    assert len({(r["slot"], r["place"]) for r in found}) == len(rows)
+    assert sorted(((r["doc_id"] or -1), r["source"]) for r in found) == sorted((i or -1, s) for i, s in rows)
+    for wrong in ({"default_share": 0}, {"shares": {"a": 0}}, {"shares": {"a": 1.5}}, {"block": 0}):
+        with pytest.raises(ValueError):
+            mixing.Parameters(**wrong)
+
+
 def test_mix_edge_rows(spark):
     rows = mixing.mix(edge_docs(spark), mixing.Parameters(block=2)).collect()
     assert len(rows) == edge_docs(spark).count()
@@ -311,11 +372,12 @@ def test_url_aliases_against_brute_force(spark):
 def test_pipeline_stages(spark):
     docs = sample_docs(spark)
     wide = docs.withColumns({"slot": F.lit(1), "score": F.lit(2), "kept": F.lit(3)}).unionByName(docs.limit(3), True)
+    assert near_dedup.Parameters().distance == 31 and corpus_pipeline.NEAR.distance == 37
     clean = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert clean.columns == docs.columns and 0 < clean.count() <= docs.count()
     assert corpus_pipeline.drop_toxic(spark, wide, SF).columns == wide.columns
     single = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
-    by_hand = components_by_hand({r["doc_id"]: r["text"] for r in docs.collect()}, P.percent)
+    by_hand = components_by_hand({r["doc_id"]: r["text"] for r in docs.collect()}, 80)  # a stage's similarity
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i, (_, c) in by_hand.items() if i == c)
     again = corpus_pipeline.drop_near_duplicates(spark, docs.unionByName(docs.limit(9)), SF)
     assert again.count() == single.count()
@@ -330,6 +392,15 @@ def test_pipeline_stages(spark):
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "source", "tokens"}
 
 
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    docs = sample_docs(spark).withColumns({c: F.lit(c) for c in ("tokens", "n_tokens", "position", "score", "kept", "component_id", "decoded")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(done.columns) == {*docs.columns, "position_", "tokens_", "n_tokens_"} - {"text"}
+    assert all((r["tokens"], r["n_tokens"], r["position"]) == ("tokens", "n_tokens", "position") for r in done.collect())
+
+
 def test_pipeline_rows_have_their_place_in_the_mixture(spark):
     rows = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["position"])
     kept = spark.createDataFrame([(r["doc_id"], r["source"]) for r in rows], "doc_id long, source string")

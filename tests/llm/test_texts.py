@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -292,17 +294,50 @@ def test_webp_copies_overlap_and_cross_blocks():
 def test_licenses(spark):
     mit = LICENSES["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ,")
-    docs = spark.createDataFrame(
-        [(1, changed), (2, "before\n\n" + mit.replace("\n\n", "\n") + "\n\nafter"), (3, None), (4, ""), (5, "text\nReleased under the MIT Licence\n"), (6, "nothing")],
-        "doc_id long, text string",
-    ).withColumn("digest", F.lit("clash"))
-    found = {r["doc_id"]: (r["license"], r["parts"]) for r in licenses.scan(docs).collect()}
-    assert found[1][0] == "MIT" and found[2] == (None, ["MIT"]) and found[5] == (None, ["MIT"])
-    assert found[3] == found[4] == found[6] == (None, [])
+    rows = [
+        (1, changed), (2, "before\n\n" + mit.replace("\n\n", "\n") + "\n\nafter"), (3, None), (4, ""), (6, "nothing"),
+        (5, "text\n# Released under the MIT Licence\n"), (7, "SPDX-License-Identifier: Apache-2.0\nthis work is licensed under CC BY-NC 4.0."),
+        (8, "released under the moon\n\nMIT"), (1, changed), (None, changed),
+        (9, "Distributed under the terms of the GNU General Public License, version 3.0" + "\n\nmore" * 30_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("k", F.lit(1))
+    rows = licenses.scan(docs).collect()
+    found = {r["doc_id"]: (r["license"], r["parts"], r["notices"]) for r in rows}
+    assert found[1] == found[None] == ("MIT", ["MIT"], []) and found[2] == (None, ["MIT"], []) and found[5] == (None, [], ["MIT"])
+    assert found[3] == found[4] == found[6] == found[8] == (None, [], [])
+    assert found[7] == (None, [], ["Apache-2.0", "CC-BY-NC-4.0"]) and found[9] == (None, [], ["GPL-3.0-only"])
+    assert len(rows) == docs.count()
     assert licenses.scan(no_docs(spark)).count() == 0
     assert queries.op10_licenses(spark, SF).count() == sample_docs(spark).count()
 
 
+def canonical_by_hand(text):
+    """The canonical form, by other means."""
+    lines = [x for x in text.lower().split("\n") if not re.match(r"[^a-z0-9\n]*(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved)", x)]
+    form = "\n".join(lines)
+    for pattern, one in licenses.SPELLINGS:
+        form = re.sub(pattern, one, form)
+    return " ".join("".join(c if c.isalpha() or c.isdigit() else " " for c in form).split())
+
+
+PUBLISHED = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not PUBLISHED.exists(), reason="no published licence texts here")
+def test_published_licenses_in_full(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {k: (PUBLISHED / f).read_text("utf-8") for k, f in files.items()}
+    rows = []
+    for i, (k, t) in enumerate(texts.items()):
+        rows += [(k, 3 * i, t), (k, 3 * i + 1, "Copyright (c) 1999 A\n" + " ".join(t.upper().split(" "))), (k, 3 * i + 2, f"mine\n\n{t}\n\nthe rest")]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "name string, doc_id long, text string")).collect()}
+    for k, i, t in rows:
+        assert found[i]["digest"] == hashlib.sha256(canonical_by_hand(t).encode()).hexdigest()
+        assert found[i]["license"] == (None if i % 3 == 2 else k) and k in found[i]["parts"]
+    cut = texts["GPL-3.0-only"].replace("freedom", "liberty", 1)
+    assert licenses.scan(spark.createDataFrame([(1, cut)], "doc_id long, text string")).first()["license"] is None
+
+
 def test_lm_scores(spark):
     p = lm_scoring.Parameters(words=20, endings=10, hidden=8)
     model = lm_scoring.fit(sample_docs(spark), p)
@@ -361,7 +396,7 @@ def test_lm_scores_words_inside_their_classes(spark):
 
 
 def test_licenses_in_their_own_layout_inside_a_text(spark):
-    full = sorted(k for k in LICENSES if "#" not in k)
+    full = sorted(LICENSES)
     rows = [(i, f"before\n\nmore\n\nCopyright (c) 2020 Someone\n\n{LICENSES[k]}\n\nafter\n\nthe end") for i, k in enumerate(full)]
     assert all("\n\n" in LICENSES[k] for k in full)
     rows += [(90, "a\n\nb\n\nc"), (91, LICENSES["MIT"].split("\n\n")[0])]
