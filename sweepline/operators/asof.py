@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sweepline.operators.prefix import with_running
 
-def in_arrival_order(knots: DataFrame, by: str, arrival: str, t: str) -> DataFrame:
-    """knots with ``accepted``: whether t is later than that of every knot that arrived before."""
-    before = F.max(t).over(Window.partitionBy(by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return knots.withColumn("accepted", F.coalesce(F.col(t) > before, F.lit(True)) & F.col(t).isNotNull())
+
+def in_arrival_order(knots: DataFrame, by: str, arrival: str, t: str, bucket: Column) -> DataFrame:
+    """knots with ``accepted``: whether t is later than that of every knot that arrived before. bucket is one of arrival."""
+    at = with_running(knots, [by], [arrival], {}, bucket, {"_newest": F.col(t)})
+    return at.withColumn("accepted", F.coalesce(F.col(t) > F.col("_newest"), F.lit(True)) & F.col(t).isNotNull()).drop("_newest")
 
 
 def brackets(probes: DataFrame, knots: DataFrame, by: str, knot_columns: Sequence[str], bucket: int) -> DataFrame:

@@ -8,47 +8,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sweepline.operators.prefix import with_previous, with_running
 
-def sections(rows: DataFrame, by: Sequence[str], order: Sequence[str], breaks: Column) -> DataFrame:
-    """rows with ``section``: how many breaks there were up to each row. breaks may use lag() over the same order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    flagged = rows.withColumn("_break", F.coalesce(breaks, F.lit(False)).cast("int"))
-    return flagged.withColumn("section", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
+def sections(rows: DataFrame, by: Sequence[str], order: Sequence[str], breaks: Column, bucket: Column) -> DataFrame:
+    """rows with ``section``: how many breaks there were up to each row. breaks is a column of the row, such as one of with_previous()."""
+    flagged = rows.withColumn("_break", F.coalesce(breaks, F.lit(False)).cast("long"))
+    return with_running(flagged, by, order, {"section": F.col("_break")}, bucket).drop("_break")
 
-def previous(column: str, by: Sequence[str], order: Sequence[str]) -> Column:
-    return F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
 
-
-def path_length(rows: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str]) -> DataFrame:
+def path_length(rows: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str], bucket: Column) -> DataFrame:
     """rows with ``path`` (length so far) and ``loop_fraction`` (its share of the whole)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    square = sum(((F.col(a) - F.lag(a).over(w)) * (F.col(a) - F.lag(a).over(w)) for a in axes[1:]), (F.col(axes[0]) - F.lag(axes[0]).over(w)) * (F.col(axes[0]) - F.lag(axes[0]).over(w)))
-    step = rows.withColumn("_step", F.coalesce(F.sqrt(square), F.lit(0.0)))
-    path = step.withColumn("path", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
-    whole = F.max("path").over(Window.partitionBy(*by))
-    return path.withColumn("loop_fraction", F.when(whole > 0, F.col("path") / F.when(whole > 0, whole)).otherwise(0.0))
+    at = with_previous(rows, by, order, {f"_{a}": a for a in axes}, bucket)
+    square = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
+    path = with_running(at, by, order, {"path": F.sqrt(square)}, bucket).drop(*[f"_{a}" for a in axes])
+    whole = path.groupBy(*by).agg(F.max("path").alias("_whole"))  # one row a session
+    at = path.join(whole, list(by))
+    return at.withColumn("loop_fraction", F.when(F.col("_whole") > 0, F.col("path") / F.nullif("_whole", F.lit(0.0))).otherwise(0.0)).drop("_whole")
 
 
-def merged_intervals(rows: DataFrame, by: Sequence[str], join_gap: float) -> DataFrame:
+def merged_intervals(rows: DataFrame, by: Sequence[str], join_gap: float, bucket: Column) -> DataFrame:
     """Unions of (lo, hi) intervals that overlap or lie within join_gap of each other."""
-    w = Window.partitionBy(*by).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return sections(rows.where("lo <= hi").withColumn("_reach", reach), by, ["lo", "hi"], F.col("lo") > F.col("_reach") + join_gap).groupBy(*by, "section").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
+    at = with_running(rows.where("lo <= hi"), by, ["lo", "hi"], {}, bucket, {"_reach": F.col("hi")})
+    return sections(at, by, ["lo", "hi"], F.col("lo") > F.col("_reach") + join_gap, bucket).groupBy(*by, "section").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
 
 
-def runs(rows: DataFrame, by: Sequence[str], t: str, gap: float, pad: float, least: float) -> DataFrame:
+def runs(rows: DataFrame, by: Sequence[str], t: str, gap: float, pad: float, least: float, bucket: Column) -> DataFrame:
     """Runs of sorted values split at gaps, padded, the short ones dropped."""
-    cut = F.col(t) - previous(t, by, [t]) > gap
-    found = sections(rows, by, [t], cut).groupBy(*by, "section").agg((F.min(t) - pad).alias("lo"), (F.max(t) + pad).alias("hi"), F.count("*").alias("n"))
+    at = with_previous(rows, by, [t], {"_t": t}, bucket)
+    found = sections(at, by, [t], F.col(t) - F.col("_t") > gap, bucket).groupBy(*by, "section").agg((F.min(t) - pad).alias("lo"), (F.max(t) + pad).alias("hi"), F.count("*").alias("n"))
     return found.where(F.col("hi") - F.col("lo") >= least)
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The total length of the overlap of two interval lists, each of disjoint intervals."""
-    both = a.select(*by, "lo", "hi").join(b.select(*by, F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), list(by))
-    shared = F.least("hi", "hi2") - F.greatest("lo", "lo2")
-    return both.where(shared > 0).groupBy(*by).agg(F.sum(shared).alias("overlap"))
+def interval_overlap(a: DataFrame, b: DataFrame, by: Sequence[str], bucket: Column) -> DataFrame:
+    """The total length that two interval lists cover both, each of disjoint intervals; by a sweep over their ends.
+
+    bucket is one of ``at``, the place of an end.
+    """
+    ends = lambda d, c: d.where("lo < hi").select(*by, F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias(c)), F.struct(F.col("hi").alias("at"), F.lit(-1).alias(c)))).alias("e")).select(*by, "e.*")
+    both = ends(a, "_a").unionByName(ends(b, "_b2"), True).fillna(0, ["_a", "_b2"]).groupBy(*by, "at").agg(F.sum("_a").alias("_a"), F.sum("_b2").alias("_b2"))
+    open_ = with_running(both, by, ["at"], {"_in_a": F.col("_a"), "_in_b": F.col("_b2")}, bucket)
+    # a stretch begins at the end before it: that one's state holds up to here
+    swept = with_previous(open_, by, ["at"], {"_from": "at", "_pa": "_in_a", "_pb": "_in_b"}, bucket)
+    return swept.where("_pa > 0 and _pb > 0").groupBy(*by).agg(F.sum(F.col("at") - F.col("_from")).alias("overlap"))
 
 
 def min_delay_envelope(pairs: DataFrame, by: str, window: int, clamp: float) -> DataFrame:
@@ -57,8 +59,8 @@ def min_delay_envelope(pairs: DataFrame, by: str, window: int, clamp: float) ->
     pairs: (by, device, arrival). Windows are aligned to the first device time, not anchored to the pair that
     opens each: a set-based variant of the sequential rule.
     """
-    start = F.min("device").over(Window.partitionBy(by))
-    at = pairs.withColumn("w", F.floor((F.col("device") - start) / window)).withColumn("delta", F.col("arrival") - F.col("device"))
+    start = pairs.groupBy(by).agg(F.min("device").alias("_start"))  # one row a session
+    at = pairs.join(start, by).withColumn("w", F.floor((F.col("device") - F.col("_start")) / window)).withColumn("delta", F.col("arrival") - F.col("device"))
     least = at.groupBy(by, "w").agg(F.min(F.struct("delta", "device")).alias("m")).select(by, F.col("m.device").alias("x"), F.col("m.delta").alias("y"))
     slopes = least.groupBy(by).agg(F.regr_slope("y", "x").alias("raw"), F.count("*").alias("windows"))
     slopes = slopes.withColumn("slope", F.coalesce(F.greatest(F.lit(-clamp), F.least(F.lit(clamp), "raw")), F.lit(0.0)))
@@ -77,10 +79,10 @@ def jitter(rows: DataFrame, by: str, order: Sequence[str], value: str, last: int
     return rows.withColumn("_ring", ring).withColumn("jitter", nearest_rank(F.col("_ring"), 0.95) - nearest_rank(F.col("_ring"), 0.05)).drop("_ring")
 
 
-def loss_tracker(rows: DataFrame, by: str, order: Sequence[str], counter: str, bits: int = 16, reset: int = 1024) -> DataFrame:
+def loss_tracker(rows: DataFrame, by: str, order: Sequence[str], counter: str, bucket: Column, bits: int = 16, reset: int = 1024) -> DataFrame:
     """Counts by session: in sequence, duplicate, lost numbers, resets; and the share of numbers lost."""
-    gap = F.pmod(F.col(counter) - previous(counter, [by], order), F.lit(1 << bits))
-    g = rows.select(by, gap.alias("gap"))
+    at = with_previous(rows, [by], order, {"_before": counter}, bucket)
+    g = at.select(by, F.pmod(F.col(counter) - F.col("_before"), F.lit(1 << bits)).alias("gap"))
     lost = F.sum(F.when((F.col("gap") > 1) & (F.col("gap") < reset), F.col("gap") - 1).otherwise(0))
     out = g.groupBy(by).agg(
         F.count("*").alias("packets"),
@@ -127,8 +129,3 @@ def cross_correlation(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     sums = joined.groupBy("lag").agg(F.sum(F.col("va") * F.col("vb")).alias("ab"), F.sum(F.col("va") * F.col("va")).alias("aa"), F.sum(F.col("vb") * F.col("vb")).alias("bb"), F.count("*").alias("n"))
     norm = F.sqrt(F.col("aa") * F.col("bb"))
     return sums.select("lag", "n", F.when(norm > 0, F.col("ab") / F.when(norm > 0, norm)).otherwise(0.0).alias("ncc"))
-
-
-def by_index(values: Column, at: Column) -> Column:
-    """Element ``at`` (from 0) of a sorted array."""
-    return F.element_at(values, at.cast("int") + 1)

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from sweepline.functions import geodesy, geometry, nmea
 from sweepline.operators import asof, merge, ordered, spatial
+from sweepline.operators.prefix import with_previous
 from sweepline.plans.bindings import CLOUD, ORDER, TRACK, VECTORS, cloud, track, vectors
 from sweepline.session import table
 from sweepline.sources import packets, sinks
 
 HOUR = 3_600_000_000
+
+
+def weeks() -> Column:
+    """A bucket of t for orders by time."""
+    return F.expr(f"t div {168 * HOUR}")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -365,7 +372,7 @@ def asof_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
  select user_id, count(*) filter (ok) accepted, count(*) filter (not ok) rejected from a group by user_id""")
 def arrival_order_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = track(spark, sf_dir).withColumn("arrival", F.struct((F.col("event_id") * 7919 % 10007).alias("a"), "event_id"))
-    a = asof.in_arrival_order(e, "user_id", "arrival", "t")
+    a = asof.in_arrival_order(e, "user_id", "arrival", "t", F.expr("arrival.a div 1000"))
     return a.groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
@@ -374,7 +381,8 @@ def arrival_order_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
  select user_id, section::bigint section, count(*) n, min(t) t_first, max(t) t_last from s group by all""")
 def section_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["t", "event_id"]
-    s = ordered.sections(track(spark, sf_dir), ["user_id"], order, F.col("t") - ordered.previous("t", ["user_id"], order) > 12 * HOUR)
+    at = with_previous(track(spark, sf_dir), ["user_id"], order, {"before": "t"}, weeks())
+    s = ordered.sections(at, ["user_id"], order, F.col("t") - F.col("before") > 12 * HOUR, weeks())
     return s.groupBy("user_id", "section").agg(F.count("*").alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
 
 
@@ -382,7 +390,7 @@ def section_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
  p as (select *, sum(step) over (partition by user_id order by t, event_id rows unbounded preceding) path, sum(step) over (partition by user_id) whole from s)
  select event_id, round(path, 5) path, round(case when whole > 0 then path / whole else 0 end, 6) loop_fraction from p""")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ordered.path_length(track(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"])
+    p = ordered.path_length(track(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"], weeks())
     return p.select("event_id", r("path", 5).alias("path"), r("loop_fraction").alias("loop_fraction"))
 
 
@@ -398,7 +406,7 @@ KNOTS = f"""with {TRACK}, d as (select user_id, t // 86400000000 n, max(value) x
 def loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = 24 * HOUR
     k = track(spark, sf_dir).groupBy("user_id", F.expr(f"t div {day}").alias("n")).agg(F.max("value").alias("x")).withColumn("t", F.col("n") * day)
-    k = ordered.path_length(k, ["user_id"], ["n"], ["x"]).withColumn("path", F.round("path", 3))
+    k = ordered.path_length(k, ["user_id"], ["n"], ["x"], F.expr("n div 7")).withColumn("path", F.round("path", 3))
     found = ordered.loop_candidates(k, "user_id", 3 * day, 8, 3, 4)
     return found.select("user_id", "a", "b", *[r(c, 3).alias(c) for c in ("length", "gap", "excursion")])
 
@@ -410,7 +418,7 @@ def loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem").select("l_suppkey", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate) div 86400000000").alias("lo"), F.round(F.bround(F.col("l_quantity") / 10)).cast("long").alias("days"))
     i = i.select("l_suppkey", "lo", (F.col("lo") + F.col("days")).alias("hi"))
-    return ordered.merged_intervals(i, ["l_suppkey"], 1).select("l_suppkey", "lo", "hi", "n")
+    return ordered.merged_intervals(i, ["l_suppkey"], 1, F.expr("lo div 100")).select("l_suppkey", "lo", "hi", "n")
 
 
 @query("""with v as (select l_suppkey, l_extendedprice / 1000 x from lineitem), g as (select *, coalesce((x - lag(x) over (partition by l_suppkey order by x) > 0.25)::int, 0) b from v),
@@ -418,7 +426,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
  select l_suppkey, round(min(x) - 0.05, 6) lo, round(max(x) + 0.05, 6) hi, count(*) n from s group by l_suppkey, section having max(x) + 0.05 - (min(x) - 0.05) >= 0.3""")
 def runs_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 1000).alias("x"))
-    return ordered.runs(v, ["l_suppkey"], "x", 0.25, 0.05, 0.3).select("l_suppkey", r("lo").alias("lo"), r("hi").alias("hi"), "n")
+    return ordered.runs(v, ["l_suppkey"], "x", 0.25, 0.05, 0.3, F.floor(F.col("x") / 10)).select("l_suppkey", r("lo").alias("lo"), r("hi").alias("hi"), "n")
 
 
 @query(f"""with {TRACK}, p as (select user_id, t device, t + 1000 + (value * 10)::bigint arrival from track), w as (select *, (device - min(device) over (partition by user_id)) // 86400000000 w, arrival - device delta from p),
@@ -444,7 +452,7 @@ def jitter_p95_p5(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(sum(case when gap > 1 and gap < 1024 then gap - 1 else 0 end) / (sum(case when gap > 1 and gap < 1024 then gap - 1 else 0 end) + count(*))::double, 9) loss from g group by user_id""")
 def loss_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = track(spark, sf_dir).withColumn("counter", F.col("event_id") % 65536)
-    return ordered.loss_tracker(e, "user_id", ["event_id"], "counter").withColumn("loss", r("loss", 9))
+    return ordered.loss_tracker(e, "user_id", ["event_id"], "counter", F.expr("event_id div 10000")).withColumn("loss", r("loss", 9))
 
 
 @query(f"""with {TRACK}, s as (select *, t // 21600000000 scan from track), n as (select user_id, scan, count(*) points from s group by all),
