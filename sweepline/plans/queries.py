@@ -310,49 +310,6 @@ def utm_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo(spark, sf_dir).select("c_custkey", geodesy.utm_zone(F.col("lat"), F.col("lon")).alias("zone"))
 
 
-@query()
-def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"))
-    return geo(spark, sf_dir).select("c_custkey", r(east, 3).alias("east"), r(north, 3).alias("north"), geodesy.epsg(F.col("lat"), F.col("lon")).alias("epsg"))
-
-
-def nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GGA sentences of events, every tenth with a wrong checksum."""
-    k = F.col("event_id")
-    said = F.format_string(
-        "GPGGA,%02d%02d%02d.00,%02d%02d.%02d00,%s,%03d%02d.%02d00,E,%d,08,1.0,%d.5,M,0.0,M,,",
-        k % 24, k % 60, k * 7 % 60, k % 90, k % 60, k % 100, F.when(k % 2 == 0, "N").otherwise("S"), k % 180, k % 59, k % 97, k % 7, k % 500,
-    )
-    whole = nmea.framed(said)
-    broken = F.concat(F.substring(whole, 1, 10), F.lit("9"), F.expr("substring(w, 12)"))
-    return track(spark, sf_dir).withColumn("w", whole).select("event_id", F.when(k % 10 == 0, broken).otherwise(F.col("w")).alias("line"))
-
-
-@query("""select event_id, 'ok' status, case event_id % 7 when 1 then 'autonomous' when 2 then 'differential' when 4 then 'rtk_fixed' when 5 then 'rtk_float' when 6 then 'dead_reckoning' else 'none' end fix,
- round(((event_id % 90) + ((event_id % 60) + (event_id % 100) / 100.0) / 60) * (case when event_id % 2 = 0 then 1 else -1 end), 7) lat,
- round((event_id % 180) + ((event_id % 59) + (event_id % 97) / 100.0) / 60, 7) lon, ((event_id % 24) * 3600 + (event_id % 60) * 60 + event_id * 7 % 60)::double sod, (event_id % 500) + 0.5::double alt
- from events where event_id % 10 <> 0""")
-def nmea_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("line")
-    parsed = nmea_lines(spark, sf_dir).select(
-        "event_id",
-        nmea.status(line).alias("status"),
-        nmea.fix_of(nmea.part(line, 6).cast("int")).alias("fix"),
-        r(nmea.degrees(nmea.part(line, 2), nmea.part(line, 3)), 7).alias("lat"),
-        r(nmea.degrees(nmea.part(line, 4), nmea.part(line, 5)), 7).alias("lon"),
-        nmea.second_of_day(nmea.part(line, 1)).alias("sod"),
-        nmea.part(line, 9).cast("double").alias("alt"),
-    )
-    return parsed.where("event_id % 10 <> 0")
-
-
-@query("""select case when c_custkey % 5 = 0 then 'empty' when c_custkey % 5 = 1 then 'no_start' when c_custkey % 5 = 2 then 'no_checksum' when c_custkey % 5 = 3 then 'bad_checksum' else 'no_type' end status, count(*) n from customer group by all""")
-def nmea_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") % 5
-    line = F.when(k == 0, "").when(k == 1, "GPGGA,1*00").when(k == 2, "$GPGGA,1").when(k == 3, "$GPGGA,1*FF").otherwise(nmea.framed(F.lit("abc")))
-    return table(spark, sf_dir, "customer").groupBy(nmea.status(line).alias("status")).agg(F.count("*").alias("n"))
-
-
 # ---- tracks --------------------------------------------------------------------------------------------------
 
 

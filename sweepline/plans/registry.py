@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sweepline.plans import gnss as gnss
 from sweepline.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
