@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepline.functions import geodesy, geometry, nmea
+from sweepline.functions import geodesy, geometry
 from sweepline.operators import asof, merge, ordered, spatial
 from sweepline.operators.prefix import with_previous
 from sweepline.plans.bindings import CLOUD, ORDER, TRACK, VECTORS, cloud, track, vectors
@@ -209,11 +209,13 @@ def geometry_eigen(c: DataFrame) -> tuple[Column, Column]:
     return spatial.eigenvalues_2d(F.col("cxx"), F.col("cxy"), F.col("cyy"))
 
 
-@query(f"""with {CLOUD}, q as (select *, case when x = 0 then 'no_return' when z > 9 then 'tag' when y < 2 then 'reflectivity' when x > 45 then 'range' else 'in' end reason from cloud)
- select session, reason, count(*) n from q group by all""")
+@query(f"""with {CLOUD}, q as (select *, case when (x - 1) ** 2 + z ** 2 = 0 then 'no_return' when l_partkey % 16 in (1, 3) then 'tag' when l_suppkey % 100 < 7 then 'reflectivity'
+  when (x - 1) ** 2 + z ** 2 < 4 or (x - 1) ** 2 + z ** 2 > 2025 then 'range' else 'in' end reason from cloud) select session, reason, count(*) n from q group by all""")
 def yield_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("x") == 0, "no_return").when(F.col("z") > 9, "tag").when(F.col("y") < 2, "reflectivity").when(F.col("x") > 45, "range").otherwise("in")
-    return cloud(spark, sf_dir).groupBy("session", reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Points by their first reason to be left out."""
+    p = cloud(spark, sf_dir).select("session", (F.col("x") - 1).alias("x"), F.lit(0.0).alias("y"), "z", F.when((F.col("l_partkey") % 16).isin(1, 3), F.col("l_partkey") % 16).otherwise(0).alias("tag"), (F.col("l_suppkey") % 100).alias("reflectivity"))
+    why = F.coalesce(packets.reject_reason(low_reflectivity=7, near=2.0, far=45.0), F.lit("in"))
+    return p.groupBy("session", why.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {CLOUD}, m as (select (min(x) + max(x)) / 2 ox, (min(y) + max(y)) / 2 oy, (min(z) + max(z)) / 2 oz from cloud)
@@ -226,10 +228,10 @@ def las_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("session").agg(*[F.sum(geometry.quantised(F.col(a), F.col(f"o{a}"), s)).alias(f"q{a}") for a, s in scales.items()])
 
 
-@query(f"""with {VECTORS} select id, stream from vectors where stream in (1, 3, 5, 7) and id % 3 = 0 and x between -0.3 and 0.3 and y between -0.3 and 0.3 and z between -0.3 and 0.3""")
+@query(f"""with {VECTORS}, n as (select *, row_number() over (order by id) - 1 nth from vectors where stream in (1, 3, 5, 7))
+ select id, stream from n where nth % 3 = 0 and x between -0.3 and 0.3 and y between -0.3 and 0.3 and z between -0.3 and 0.3""")
 def export_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).withColumn("nth", F.col("id"))
-    return sinks.selected(v, [1, 3, 5, 7], 3, (-0.3,) * 3, (0.3,) * 3).select("id", "stream")
+    return sinks.selected(vectors(spark, sf_dir), [1, 3, 5, 7], 3, (-0.3,) * 3, (0.3,) * 3, ["id"], F.expr("id div 1000")).select("id", "stream")
 
 
 @query("""select p_partkey, floor((299 * (p_size * 5) + 587 * (p_size * 3) + 114 * p_size + 500) / 1000.0)::int luma,
@@ -270,15 +272,17 @@ def polar_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", r(x).alias("x"), r(y).alias("y"), F.when(back == 360, 0.0).otherwise(back).alias("back"))
 
 
-@query("""with p as (select c_custkey, radians((c_custkey % 170)::double) a, (c_custkey % 11) / 10.0 u from customer)
- select c_custkey, round(sin(a * u / 2), 6) qz, round(cos(a * u / 2), 6) qw, round(degrees(a), 6) turn from p where c_custkey % 170 >= 10""")
+@query("""with p as (select c_custkey, radians((c_custkey % 170) / 8.0) a, (c_custkey % 11) / 10.0 u, radians((c_custkey % 7) * 10.0) t from customer),
+ s as (select *, cos(a / 2) > 0.9995 line from p), m as (select *, case when line then 1 - u + u * cos(a / 2) else cos(a * u / 2) end w, case when line then u * sin(a / 2) else sin(a * u / 2) end v from s)
+ select c_custkey, round(v / sqrt(v * v + w * w) * sin(t), 6) qx, round(v / sqrt(v * v + w * w) * cos(t), 6) qz, round(w / sqrt(v * v + w * w), 6) qw, round(degrees(a), 6) turn from m""")
 def quaternion_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, u = F.radians((F.col("c_custkey") % 170).cast("double")), F.col("c_custkey") % 11 / 10.0
+    """Turns about axes in the plane of x and z; the narrow ones take a straight line."""
+    a, u, t = F.radians((F.col("c_custkey") % 170) / 8.0), F.col("c_custkey") % 11 / 10.0, F.radians(F.col("c_custkey") % 7 * 10.0)
     zero = F.lit(0.0)
-    start, end = (zero, zero, zero, F.lit(1.0)), (zero, zero, F.sin(a / 2), F.cos(a / 2))
+    # the other sign is the same turn: the short arc flips it back
+    start, end = (zero, zero, zero, F.lit(1.0)), (-F.sin(a / 2) * F.sin(t), zero, -F.sin(a / 2) * F.cos(t), -F.cos(a / 2))
     q = geometry.slerp(start, end, u)
-    wide = table(spark, sf_dir, "customer").where("c_custkey % 170 >= 10")  # narrower turns take a straight line
-    return wide.select("c_custkey", r(q[2]).alias("qz"), r(q[3]).alias("qw"), r(geometry.turn_degrees(start, end)).alias("turn"))
+    return table(spark, sf_dir, "customer").select("c_custkey", r(q[0]).alias("qx"), r(q[2]).alias("qz"), r(q[3]).alias("qw"), r(geometry.turn_degrees(start, end)).alias("turn"))
 
 
 # ---- geodesy and NMEA ----------------------------------------------------------------------------------------
@@ -473,9 +477,29 @@ def polygon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("s_nationkey").agg(F.count("*").alias("n"), r(F.sum(F.expr("x * y2 - x2 * y")) / 2).alias("area"), r(F.sum(edge)).alias("perimeter"))
 
 
-@query("""select l_returnflag session, l_suppkey::int stream, count(*) chunks, min(epoch_us(l_shipdate)) t_first, max(epoch_us(l_shipdate)) t_last from lineitem where l_suppkey < 20 group by all""")
+CHUNKS = """k as (select l_returnflag session, (l_suppkey % 10)::int stream, (l_orderkey * 10 + l_linenumber) seq, min(epoch_us(l_shipdate)) t, min(l_partkey) p from lineitem group by all),
+ b as (select *, case when seq % 2003 = 0 then 'mismatch' when seq % 3001 = 0 then 'truncated' else 'ok' end own from k), f as (select *, min(case when own <> 'ok' then seq end) over (partition by session, stream) bad from b)"""
+
+
+def chunk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of ten streams a session, some with a wrong checksum or cut short."""
+    k = table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_returnflag").alias("session"), (F.col("l_suppkey") % 10).cast("int").alias("stream"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    ).agg(F.min(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate)")).alias("t"), F.min("l_partkey").alias("p"))
+    whole = F.encode(F.format_string("chunk %d of %d", F.col("seq"), F.col("p")), "UTF-8")
+    k = k.withColumn("whole", whole).withColumn("crc32", F.crc32("whole")).withColumn("size", F.octet_length("whole"))
+    wrong, short = F.col("seq") % 2003 == 0, F.col("seq") % 3001 == 0
+    broken = F.concat(F.substring("whole", 1, 3), F.encode(F.lit("?"), "UTF-8"), F.expr("substring(whole, 5)"))
+    payload = F.when(wrong, broken).when(short, F.substring("whole", 1, 9)).otherwise(F.col("whole"))
+    return k.withColumn("payload", payload).drop("whole", "p")
+
+
+@query(f"""with {CHUNKS} select session, stream, count(*) chunks, min(t) t_first, max(t) t_last from f where bad is null or seq < bad group by all""")
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with good checksums, summed up by stream."""
-    c = cloud(spark, sf_dir).where("l_suppkey < 20").select("session", F.col("l_suppkey").cast("int").alias("stream"), "t", F.col("l_orderkey").alias("seq"), F.encode(F.col("x").cast("string"), "UTF-8").alias("payload"))
-    good = packets.valid_prefix(c.withColumn("crc32", F.crc32("payload")))
-    return packets.stream_summary(good).drop("bytes")
+    """The chunks of each stream before its first bad one, summed up."""
+    return packets.stream_summary(packets.valid_prefix(chunk_log(spark, sf_dir))).drop("bytes")
+
+
+@query(f"""with {CHUNKS} select session, case when seq > bad then 'after_bad' else own end state, count(*) n from f group by all""")
+def chunk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.chunk_states(chunk_log(spark, sf_dir)).groupBy("session", "state").agg(F.count("*").alias("n"))

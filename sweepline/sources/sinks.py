@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepline.operators.prefix import with_running
+
 PLY_ROW = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 
 
@@ -78,13 +80,11 @@ def las_parts(points: DataFrame, scale: float, offsets: tuple[float, float, floa
     return _parts(las_rows(points, scale, offsets), ["qx", "qy", "qz", "t", "r", "g", "b"], pack, order)
 
 
-def selected(points: DataFrame, streams: list[int], stride: int, low: tuple, high: tuple) -> DataFrame:
-    """Export selection: streams (all if none are named), then every stride-th of their points, then inclusive bounds.
-
-    points has ``nth``, each point's place among the points of the selected streams.
-    """
+def selected(points: DataFrame, streams: list[int], stride: int, low: tuple, high: tuple, order: list[str], bucket: Column) -> DataFrame:
+    """Export selection: streams (all if none are named), then every stride-th of their points in order, then inclusive bounds."""
     kept = points.where(F.col("stream").isin(streams)) if streams else points
+    placed = with_running(kept, [], order, {"_nth": F.lit(1)}, bucket)
     inside = F.lit(True)
     for a, lo, hi in zip("xyz", low, high, strict=True):
         inside = inside & F.col(a).between(lo, hi)
-    return kept.where(F.col("nth") % stride == 0).where(inside)
+    return placed.where((F.col("_nth") - 1) % stride == 0).where(inside).drop("_nth")

@@ -29,9 +29,15 @@ def test_poses_and_datagrams(spark):
     assert [(r["seq"], r["t"], r["px"], r["qw"]) for r in found] == [(0, 7, 1.5, 1.0), (1, 7, 1.5, 1.0)]
     points = np.zeros(3, dtype=packets.POINT)
     points["x"], points["tag"] = [0, 1000, 2000], [0, 0, 1]
-    size = packets.HEADER_SIZE + points.nbytes
-    good = struct.pack(packets.HEADER, 0, size, 9, 3, 0, 1, 50) + points.tobytes()
-    data = spark.createDataFrame([("s", 4, good), ("s", 5, good[:-1]), ("s", 6, b"")], "session string, seq long, payload binary")
+    checked = struct.pack("<Q", 50) + points.tobytes()
+    good = struct.pack("<BHHHHBBB12sI", 0, 36 + points.nbytes, 0, 3, 9, 0, 1, 0, b"", zlib.crc32(checked)) + checked
+    imu = struct.pack("<Q6f", 60, 1, 2, 3, 4, 5, 6)
+    imu = struct.pack("<BHHHHBBB12sI", 0, 60, 0, 1, 10, 0, 0, 0, b"", zlib.crc32(imu)) + imu
+    rows = [("s", 4, good), ("s", 5, good[:-1]), ("s", 6, b""), ("s", 7, good[:-1] + b"x"), ("s", 8, imu)]
+    data = spark.createDataFrame(rows, "session string, seq long, payload binary")
+    states = {r["seq"]: r["state"] for r in packets.datagram_states(data).collect()}
+    assert states == {4: "ok", 5: "length", 6: "short", 7: "checksum", 8: "ok"}
+    assert [tuple(r)[1:] for r in packets.datagram_imu(data).collect()] == [(8, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)]
     found = packets.decode_datagrams(data).withColumn("why", packets.reject_reason()).orderBy("i").collect()
     assert [(r["seq"], r["counter"], r["x"], r["why"]) for r in found] == [(4, 9, 0.0, "no_return"), (4, 9, 1.0, None), (4, 9, 2.0, "tag")]
 
