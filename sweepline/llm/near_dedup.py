@@ -302,15 +302,19 @@ def sharing_differences(differing: DataFrame, component: DataFrame, p: Parameter
     return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def central(members: DataFrame) -> DataFrame:
-    """members (node, key) with shared: how many bucket members a node meets, over all its keys.
+def central(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members (node, key) with shared, how many bucket members a node meets, over all its keys, and its least doc_id.
 
     The text that others of a group were made from shares more minima with them than they do with each other,
-    so it has the largest number.
+    so it has the largest number. Of equal numbers the least doc_id decides, in all buckets alike.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     shared = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("shared"))
-    return members.join(shared, "node")
+    return members.join(shared.join(classes.select("node", "doc_id"), "node"), "node")
+
+
+def most_central() -> Column:
+    return F.struct((-F.col("shared")).alias("shared"), "doc_id")
 
 
 def mixed_buckets(members: DataFrame, component: DataFrame, turn: Column) -> tuple[DataFrame, DataFrame]:
@@ -325,14 +329,14 @@ def mixed_buckets(members: DataFrame, component: DataFrame, turn: Column) -> tup
 def near_links(members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame:
     """(a, b) links that connect all that the pairs sharing a key connect.
 
-    members: (node, key, shared) of keys that several nodes share, shared as central() gives it; nodes: (node, text, n, bits), one row a node.
+    members: central() of the keys that several nodes share; nodes: (node, text, n, bits), one row a node.
     """
     spark = members.sparkSession
     known = spark.createDataFrame([], "a long, b long")
     old: list[str] = []
     bits = nodes.select("node", "n", *bit_columns(p))
     for round_no in range(p.star_rounds):  # each against its bucket's representative: the most central one, then any
-        turn = F.xxhash64("node", "key", F.lit(round_no)) if round_no else -F.col("shared")
+        turn = F.xxhash64("node", "key", F.lit(round_no)) if round_no else most_central()
         at, mixed = mixed_buckets(members, connected_components(known), turn)
         mixed, mixed_at = written(mixed, "near-mixed")
         old.append(mixed_at)
@@ -347,7 +351,7 @@ def near_links(members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame
         known, path = written(known.unionByName(confirmed(close, nodes, p)), "near-links")
         old.append(path)
     else:  # one order for all buckets, so that those of a group have few representatives
-        at, mixed = mixed_buckets(members, connected_components(known), -F.col("shared"))
+        at, mixed = mixed_buckets(members, connected_components(known), most_central())
         pairs = at.select("node", "key").join(mixed.select("key", F.col("r.node").alias("rep")), "key").select("node", "rep").distinct()
         differing, path = written(differences(pairs.where("node <> rep"), nodes, p), "near-differences")
         old.append(path)
@@ -382,7 +386,7 @@ def placed_rows(docs: DataFrame, p: Parameters) -> DataFrame:
     )
     keys = bucket_keys(classes, p)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members, _ = written(central(keys.join(shared, "key").distinct()), "near-members")
+    members, _ = written(central(keys.join(shared, "key").distinct(), classes), "near-members")
     wanted = classes.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node")
     rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
     texts = rows.groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
