@@ -133,7 +133,6 @@ def bigram_counts(sample: DataFrame) -> DataFrame:
 
 def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
     """The model of bigram_counts(), without weights; None where a class has no words."""
-    spark = counts.sparkSession
     sides = counts.select(
         F.explode(
             F.array(
@@ -144,7 +143,8 @@ def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
             )
         ).alias("s")
     ).select("s.*")
-    table = sides.groupBy("word").agg(*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in ("seen", "types", "before") for c in CLASSES]).toArrow()
+    table = sides.groupBy("word").agg(*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in ("seen", "types", "before") for c in CLASSES])
+    table = table.withColumn("hash", F.xxhash64("word")).toArrow()
     of = lambda k: np.array([table.column(f"{c}_{k}").to_numpy() for c in CLASSES], dtype=np.float64)
     seen, types, before = (np.hstack([of(k), [[0.0], [0.0]]]) for k in ("seen", "types", "before"))
     total = before.sum(axis=1, keepdims=True)
@@ -156,18 +156,22 @@ def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
     spread = p.discount * (before > 0).sum(axis=1, keepdims=True) / total
     lower = np.maximum(before - p.discount, 0) / total + spread * shared
     back_off = np.where(seen > 0, p.discount * types / np.maximum(seen, 1), 1.0)
-    names = table.column("word")
-    numbers = spark.createDataFrame(pa.table({"word": names, "number": pa.array(np.arange(n - 1))}))
-    # as many rows as the sample has words
-    v, w = (F.broadcast(numbers.select(F.col("word").alias(c), F.col("number").alias(f"{c}_number"))) for c in "vw")
-    rows = counts.join(v, "v").join(w, "w").select(
-        (F.col("v_number") * n + F.col("w_number")).alias("key"), *[F.col(c).cast("float").alias(c) for c in CLASSES]
-    ).orderBy("key").toArrow()
-    keys = rows.column("key").to_numpy()
+    # bigrams find the numbers of their words by hashes, sorted here: no table of words goes back to Spark
+    hashes = table.column("hash").to_numpy()
+    by_hash = np.argsort(hashes)
+    hashes = hashes[by_hash]
+    if (hashes[1:] == hashes[:-1]).any():
+        raise ValueError("two words share a hash of 64 bits")
+    rows = counts.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), *[F.col(c).cast("float").alias(c) for c in CLASSES]).toArrow()
+    number = lambda c: by_hash[np.searchsorted(hashes, rows.column(c).to_numpy())]
+    keys = number("v") * n + number("w")
+    order = np.argsort(keys)
+    keys = keys[order]
     discounted = np.empty((2, len(keys)), dtype=np.float32)
     for i, c in enumerate(CLASSES):
-        np.maximum(rows.column(c).to_numpy() - np.float32(p.discount), 0, out=discounted[i])
+        np.maximum(rows.column(c).to_numpy()[order] - np.float32(p.discount), 0, out=discounted[i])
     del rows
+    names = table.column("word")
     return Model({x: i for i, x in enumerate(names.to_pylist())}, lower, seen, back_off, keys, discounted, (), p)
 
 
