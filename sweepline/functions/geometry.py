@@ -67,17 +67,30 @@ def rotated(q: Quaternion, x: Column, y: Column, z: Column) -> tuple[Column, ...
     return multiplied(multiplied(q, (x, y, z, F.lit(0.0))), conjugate(q))[:3]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value being computed once. Without it, an expression used often is written out, and computed, often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def slerp(a: Quaternion, b: Quaternion, u: Column, linear_above: float = 0.9995) -> Quaternion:
     """The short arc from a to b; close to each other, a normalised line."""
-    dot = sum((p * q for p, q in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
-    near = tuple(F.when(dot < 0, -q).otherwise(q) for q in b)
-    c = F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(c)
-    whole = F.sin(angle)
-    line = c > linear_above
-    p = F.when(line, 1 - u).otherwise(F.sin((1 - u) * angle) / F.when(line, 1.0).otherwise(whole))
-    q = F.when(line, u).otherwise(F.sin(u * angle) / F.when(line, 1.0).otherwise(whole))
-    return normalised(tuple(p * x + q * y for x, y in zip(a, near, strict=True)))  # type: ignore[arg-type]
+    names = [f"{s}{c}" for s in "ab" for c in "xyzw"]
+    ends = F.struct(*[v.alias(n) for n, v in zip(names, (*a, *b), strict=True)], u.alias("u"))
+
+    def weights(e: Column) -> Column:
+        return let(e["ax"] * e["bx"] + e["ay"] * e["by"] + e["az"] * e["bz"] + e["aw"] * e["bw"], lambda dot: let(F.least(F.abs(dot), F.lit(1.0)), lambda c: let(F.acos(c), lambda angle: F.struct(
+            F.when(c > linear_above, 1 - e["u"]).otherwise(F.sin((1 - e["u"]) * angle) / F.nullif(F.sin(angle), F.lit(0.0))).alias("p"),
+            (F.when(c > linear_above, e["u"]).otherwise(F.sin(e["u"] * angle) / F.nullif(F.sin(angle), F.lit(0.0))) * F.when(dot < 0, -1.0).otherwise(1.0)).alias("q"),
+        ))))
+
+    def mixed(e: Column) -> Column:
+        return let(weights(e), lambda w: F.struct(*[(w["p"] * e[f"a{c}"] + w["q"] * e[f"b{c}"]).alias(c) for c in "xyzw"]))
+
+    def unit(m: Column) -> Column:
+        return let(F.sqrt(m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"] + m["w"] * m["w"]), lambda n: F.struct(*[(m[c] / n).alias(c) for c in "xyzw"]))
+
+    arc = let(ends, lambda e: let(mixed(e), unit))
+    return tuple(arc[c] for c in "xyzw")  # type: ignore[return-value]
 
 
 def turn_degrees(a: Quaternion, b: Quaternion) -> Column:

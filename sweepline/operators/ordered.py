@@ -79,6 +79,10 @@ def jitter(rows: DataFrame, by: str, order: Sequence[str], value: str, last: int
     return rows.withColumn("_ring", ring).withColumn("jitter", nearest_rank(F.col("_ring"), 0.95) - nearest_rank(F.col("_ring"), 0.05)).drop("_ring")
 
 
+def sync_tier(jitter_ms: Column) -> Column:
+    return F.when(jitter_ms <= 5, "good").when(jitter_ms <= 15, "fair").otherwise("poor")
+
+
 def loss_tracker(rows: DataFrame, by: str, order: Sequence[str], counter: str, bucket: Column, bits: int = 16, reset: int = 1024) -> DataFrame:
     """Counts by session: in sequence, duplicate, lost numbers, resets; and the share of numbers lost."""
     at = with_previous(rows, [by], order, {"_before": counter}, bucket)
