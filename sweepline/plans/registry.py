@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sweepline.plans import gnss as gnss
+from sweepline.plans import maps as maps
 from sweepline.plans import poses as poses
 from sweepline.plans import scanner as scanner
 from sweepline.plans.queries import ORACLE_SQL, QUERIES
