@@ -21,10 +21,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ from sweepline.llm.common import bounded_batches, discard, extended, text_of, wr
 
 WORD = re.compile(r"[^\W\d_]+")
 CLASSES = ("ordinary", "toxic")
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -47,17 +50,21 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Model:
-    """Words by number; the last number is that of all unseen words. Arrays of two rows have the classes ordinary and toxic."""
+    """Words have numbers; the last number is that of all unseen words. Arrays of two rows have the classes ordinary and toxic."""
 
-    words: dict[str, int]
+    names: bytes  # the words by number, a line each
     lower: np.ndarray  # P(word) by continuation, of each class
     seen: np.ndarray  # bigram tokens that a word starts, of each class
     back_off: np.ndarray  # weight of ``lower`` after a word, of each class
     keys: np.ndarray  # sorted: number of the word before * numbers + number of the word
-    counts: np.ndarray  # discounted counts of each key, of each class
-    weights: tuple[float, ...]  # of each feature, then the intercept
+    counts: np.ndarray  # counts of each key, of each class
     p: Parameters
 
+    @cached_property
+    def words(self) -> dict[str, int]:
+        """Number of each word; made where it is used, so that the driver never holds it."""
+        return {w: i for i, w in enumerate(self.names.decode().split("\n"))}
+
     def ratios(self, text: str) -> np.ndarray:
         """The ratio of each word, given the word before."""
         return self.both_ratios(text)[0]
@@ -69,7 +76,7 @@ class Model:
         before, word = at[:-1], at[1:]
         key = before * (unseen + 1) + word
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        own = np.where(self.keys[place] == key, self.counts[:, place], 0) / np.maximum(self.seen[:, before], 1)
+        own = np.where(self.keys[place] == key, np.maximum(self.counts[:, place] - self.p.discount, 0), 0) / np.maximum(self.seen[:, before], 1)
         lower = self.lower[:, word]
         p = own + self.back_off[:, before] * lower
         return np.log(p[1] / p[0]), np.log(lower[1] / lower[0])
@@ -84,11 +91,19 @@ class Model:
             found += [float(r.mean()), *best]
         return found
 
-    def score(self, text: str) -> float:
-        z = np.dot(self.weights[:-1], self.features(text)) + self.weights[-1]
+    def score(self, text: str, weights: tuple[float, ...]) -> float:
+        z = np.dot(weights[:-1], self.features(text)) + weights[-1]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model that is broadcast once, for the fit of the weights and for all scores."""
+
+    shared: Broadcast
+    weights: tuple[float, ...]  # of each feature, then the intercept
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds
 
@@ -154,25 +169,32 @@ def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
     shared = before.sum(axis=0) + 0.5
     shared /= shared.sum()
     spread = p.discount * (before > 0).sum(axis=1, keepdims=True) / total
-    lower = np.maximum(before - p.discount, 0) / total + spread * shared
-    back_off = np.where(seen > 0, p.discount * types / np.maximum(seen, 1), 1.0)
+    lower = (np.maximum(before - p.discount, 0) / total + spread * shared).astype(np.float32)
+    back_off = np.where(seen > 0, p.discount * types / np.maximum(seen, 1), 1.0).astype(np.float32)
+    seen = seen.astype(np.float32)
+    del types, before
     # bigrams find the numbers of their words by hashes, sorted here: no table of words goes back to Spark
     hashes = table.column("hash").to_numpy()
     by_hash = np.argsort(hashes)
     hashes = hashes[by_hash]
     if (hashes[1:] == hashes[:-1]).any():
         raise ValueError("two words share a hash of 64 bits")
-    rows = counts.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), *[F.col(c).cast("float").alias(c) for c in CLASSES]).toArrow()
-    number = lambda c: by_hash[np.searchsorted(hashes, rows.column(c).to_numpy())]
-    keys = number("v") * n + number("w")
+    names = "\n".join(table.column("word").to_pylist()).encode()
+    del table
+    # in parts by the word before, so that the driver holds one part beside the arrays that it fills
+    found = []
+    for part in range(PARTS):
+        chosen = counts.where(F.pmod(F.xxhash64("v"), F.lit(PARTS)) == part)
+        rows = chosen.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), *[F.col(c).cast("int").alias(c) for c in CLASSES]).toArrow()
+        key = by_hash[np.searchsorted(hashes, rows.column("v").to_numpy())] * n
+        key += by_hash[np.searchsorted(hashes, rows.column("w").to_numpy())]
+        found.append((key, *(rows.column(c).to_numpy() for c in CLASSES)))
+        del rows, key
+    keys = np.concatenate([f[0] for f in found])
+    discovered = np.stack([np.concatenate([f[i] for f in found]) for i in (1, 2)])
+    del found
     order = np.argsort(keys)
-    keys = keys[order]
-    discounted = np.empty((2, len(keys)), dtype=np.float32)
-    for i, c in enumerate(CLASSES):
-        np.maximum(rows.column(c).to_numpy()[order] - np.float32(p.discount), 0, out=discounted[i])
-    del rows
-    names = table.column("word")
-    return Model({x: i for i, x in enumerate(names.to_pylist())}, lower, seen, back_off, keys, discounted, (), p)
+    return Model(names, lower, seen, back_off, keys[order], discovered[:, order], p)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[float, ...]:
@@ -187,7 +209,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Fitted | None:
     """The model, or None where the labels don't hold both classes."""
     sample = labelled_sample(docs, labels, p)
     logistic = fold_of(F.col("doc_id"), p.folds) == p.logistic_fold
@@ -197,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
     if model is None:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,22 +228,20 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
 
     bounded_batches(docs.sparkSession)
     rows = sample.where(logistic).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x array<double>").collect()
-    shared.destroy()
     if len({r["toxic"] for r in rows}) < 2:
         return None
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"] > 0) for r in rows])
-    return replace(model, weights=logistic_fit(x, y))
+    return Fitted(shared, logistic_fit(x, y))
 
 
-def score_documents(docs: DataFrame, model: Model | None, output: str = "score") -> DataFrame:
+def score_documents(docs: DataFrame, model: Fitted | None, output: str = "score") -> DataFrame:
     """docs with the score of each text as column ``output``, in place of one that has its name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, weights = (model.shared, model.weights) if model else (None, ())
     kept = [c for c in docs.columns if c != output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            scores = [model.score(t or "") if model else 0.0 for t in b.column("text").to_pylist()]
+            scores = [shared.value.score(t or "", weights) if shared else 0.0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, output])
 
     bounded_batches(docs.sparkSession)

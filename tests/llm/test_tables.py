@@ -441,5 +441,5 @@ def test_toxicity_knows_sequences_and_rare_words(spark):
         at = model.words[v] * model.lower.shape[1] + np.arange(model.lower.shape[1])
         for c in (0, 1):
             found = dict(zip(model.keys.tolist(), model.counts[c].tolist(), strict=True))
-            own = sum(found.get(int(k), 0.0) for k in at) / max(model.seen[c, model.words[v]], 1)
+            own = sum(max(found.get(int(k), 0.0) - p.discount, 0) for k in at) / max(model.seen[c, model.words[v]], 1)
             assert abs(own + model.back_off[c, model.words[v]] * model.lower[c].sum() - 1) < 1e-5
