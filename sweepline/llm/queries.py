@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepline.llm import (
-    byte_bpe, chat_format, fingerprint, licenses, lm_scoring, media, mixing, near_dedup, toxicity, url_filter,
+    byte_bpe, chat_format, fingerprint, licenses, lm_scoring, media, mixing, near_dedup, oracles, toxicity, url_filter,
 )
 from sweepline.session import table
 
@@ -77,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Hashes, codecs and trained models are outside SQL; near-duplicates are too slow in it over whole tables.
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": oracles.chat(EXTRA_TEXT), "op9_url_filter": oracles.urls(), "op10_licenses": oracles.licenses()}
