@@ -70,16 +70,40 @@ def las_rows(points: DataFrame, scale: float, offsets: tuple[float, float, float
     return points.withColumns({f"q{a}": F.round((F.col(a) - o) / scale).cast("int") for a, o in zip("xyz", offsets, strict=True)})
 
 
+LAS_ROW = np.dtype([
+    ("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"),
+    ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2"),
+])
+
+
 def las_parts(points: DataFrame, scale: float, offsets: tuple[float, float, float], order: list[str]) -> DataFrame:
-    """Point rows of format 7 (x, y, z, intensity, time, colour)."""
-    row = "<iiiHBBBBhHdHHH"
+    """Point rows of format 7 (x, y, z, intensity, time, colour). The intensity is the colour's grey."""
 
     def pack(x, y, z, t, r, g, b) -> bytes:
-        return b"".join(struct.pack(row, a, o, c, 0, 0x11, 0, 0, 0, 0, 0, w, u * 257, v * 257, q * 257) for a, o, c, w, u, v, q in zip(x, y, z, t, r, g, b, strict=True))
+        out = np.zeros(len(x), dtype=LAS_ROW)
+        out["x"], out["y"], out["z"], out["time"], out["returns"] = x, y, z, t, 0x11
+        for name, v in zip("rgb", (r, g, b), strict=True):
+            out[name] = np.asarray(v, np.int64) * 257
+        out["intensity"] = (299 * np.asarray(r, np.int64) + 587 * np.asarray(g, np.int64) + 114 * np.asarray(b, np.int64) + 500) // 1000 * 257
+        return out.tobytes()
 
     return _parts(las_rows(points, scale, offsets), ["qx", "qy", "qz", "t", "r", "g", "b"], pack, order)
 
 
+def las_header(n: int, scale: float, offsets: tuple[float, float, float], low: tuple[float, float, float], high: tuple[float, float, float], wkt: str = "") -> bytes:
+    """The head of a LAS 1.4 file of format 7, with the reference system as well-known text, if there is one."""
+    text = wkt.encode() + b"\0" if wkt else b""
+    record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(text), b"WKT") + text if wkt else b""
+    ends = [v for pair in zip(high, low, strict=True) for v in pair]
+    head = struct.pack("<4sHH16sBB32s32sHHHIIBHI5I", b"LASF", 0, 16, b"", 1, 4, b"EXPORT", b"sweepline", 1, 2024, 375, 375 + len(record), int(bool(wkt)), 7, LAS_ROW.itemsize, 0, 0, 0, 0, 0, 0)
+    return head + struct.pack("<12dQQIQ15Q", *[scale] * 3, *offsets, *ends, 0, 0, 0, n, n, *[0] * 14) + record
+
+
+def pcd_header(n: int) -> bytes:
+    lines = ["# .PCD v0.7 - Point Cloud Data file format", "VERSION 0.7", "FIELDS x y z rgb", "SIZE 4 4 4 4", "TYPE F F F F", "COUNT 1 1 1 1", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary"]
+    return ("\n".join(lines) + "\n").encode()
+
+
 def selected(points: DataFrame, streams: list[int], stride: int, low: tuple, high: tuple, order: list[str], bucket: Column) -> DataFrame:
     """Export selection: streams (all if none are named), then every stride-th of their points in order, then inclusive bounds."""
     kept = points.where(F.col("stream").isin(streams)) if streams else points

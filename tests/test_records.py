@@ -53,6 +53,17 @@ def test_point_files(spark):
     las = sinks.las_parts(points, 0.001, (0.0, 0.0, 0.0), ["id"]).collect()
     first = struct.unpack_from("<iii", min(bytes(p["body"])[:12] for p in las))
     assert sum(len(p["body"]) for p in las) == 3600 and first[2] == 250
+    head = sinks.las_header(100, 0.001, (0.0, 0.0, 0.0), (0.0, -99.0, 0.25), (49.5, 0.0, 0.25), 'PROJCS["x"]')
+    whole = head + b"".join(bytes(p["body"]) for p in las)
+    # a reader that knows the format only
+    assert whole[:4] == b"LASF" and whole[24:26] == b"\x01\x04" and struct.unpack_from("<H", whole, 94)[0] == 375
+    start, records, form, size = struct.unpack_from("<IIBH", whole, 96)
+    assert (records, form, size, struct.unpack_from("<Q", whole, 247)[0]) == (1, 7, 36, 100)
+    assert whole[375:].startswith(struct.pack("<H16sH", 0, b"LASF_Projection", 2112)) and len(whole) == start + 100 * size
+    assert struct.unpack_from("<6d", whole, 179) == (49.5, 0.0, 0.0, -99.0, 0.25, 0.25)
+    xs = sorted(struct.unpack_from("<i", whole, start + i * size)[0] * 0.001 for i in range(100))
+    assert xs == pytest.approx([i * 0.5 for i in range(100)])
+    assert b"POINTS 100\n" in sinks.pcd_header(100) and sinks.pcd_header(100).endswith(b"DATA binary\n")
     assert sinks.las_scale(0, 10) == 1e-4 and sinks.las_scale(0, 1e9) == pytest.approx(1.0)
 
 
