@@ -89,14 +89,15 @@ def gyro_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
  s as (select *, unnest(range(t0 // {HOUR} + 1, (e + {HOUR} - 1) // {HOUR} + 1)) k from e), x as (select s.event_id, s.far, sum((a.gz + b.gz) / 2 * greatest(0, (least(s.k * {HOUR}, e) - greatest((s.k - 1) * {HOUR}, t0)) / 1e6)) turn
   from s join w a on a.session = s.session and a.k = s.k - 1 join w b on b.session = s.session and b.k = s.k group by all),
  y as (select event_id, degrees(coalesce(max(case when far = 0 then turn end), 0)) near, degrees(coalesce(max(case when far = 1 then turn end), 0)) far from x group by event_id),
- z as (select h.*, near, w1 - w0 - far rest, cos(radians(w1 - w0 - far) / 2) > 0.9995 straight from h left join y using (event_id))
- select event_id, case when t0 = t then 'knot' when not fits then 'too_long' else 'gyro' end how, round(case when t0 <> t and fits then w0 + coalesce(near, 0) + case when straight then degrees(2 * atan2(u * sin(radians(rest) / 2), 1 - u + u * cos(radians(rest) / 2))) else rest * u end else yaw end, 5) yaw from z""")
+ x1 as (select h.*, near, w1 - w0 - far - 360 * floor((w1 - w0 - far + 180) / 360) rest from h left join y using (event_id)), z as (select *, cos(radians(rest) / 2) > 0.9995 straight from x1),
+ o as (select *, case when t0 <> t and fits then w0 + coalesce(near, 0) + case when straight then degrees(2 * atan2(u * sin(radians(rest) / 2), 1 - u + u * cos(radians(rest) / 2))) else rest * u end else yaw end turned from z)
+ select event_id, case when t0 = t then 'knot' when not fits then 'too_long' else 'gyro' end how, round(turned - 360 * floor(turned / 360), 5) yaw from o""")
 def imu_densified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attitudes that follow the gyro between poses and end where the next pose is."""
     p = pose_table(spark, sf_dir)
     probes = p.where("event_type = 'click'").select("session", "event_id", (F.col("t") + 300_000_000).alias("t"))
     d = poses.densified(probes, p.where("event_type <> 'click'"), gyro_table(spark, sf_dir), "session", 48 * HOUR, HOUR, 36 * HOUR)
-    return d.where("px is not null").select("event_id", "how", r(yaw_of(), 5).alias("yaw"))
+    return d.where("px is not null").select("event_id", "how", r(F.pmod(yaw_of(), F.lit(360.0)), 5).alias("yaw"))
 
 
 SEAMS = f"""n as (select *, coalesce(lag(not lost and quality > 0) over (partition by session order by t), false) neighbour from poses),
@@ -115,10 +116,10 @@ def pose_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {POSES}, {SEAMS}, x as (select *, greatest(0, distance - (2 * gap + 3)) excess, abs(turn - event_id % 60) rest from s where impossible or gap > 24)
- select case when gap <= 2 and turn <= 25 then 'snap' when gap > 60 then 'refused_too_long' when event_id % 5 = 0 then 'refused_no_gyro' when rest > 25 or excess > 100 then 'refused_disagrees' when rest < 1 and excess < 1 then 'negligible' else 'bridged' end verdict, count(*) n from x group by all""")
+ select case when gap <= 2 and turn <= 25.25 then 'snap' when gap > 60 then 'refused_too_long' when event_id % 5 = 0 then 'refused_no_gyro' when rest > 25.25 or excess > 100 then 'refused_disagrees' when rest < 1.25 and excess < 1 then 'negligible' else 'bridged' end verdict, count(*) n from x group by all""")
 def reanchor_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    v = poses.reanchor_verdict(F.col("gap"), F.col("turn"), F.col("distance"), k % 60, F.abs(F.col("turn") - k % 60), k % 5 > 0, snap=2, longest=60, walk=2, slack=3, most_shift=100, least_turn=1, least_shift=1)
+    v = poses.reanchor_verdict(F.col("gap"), F.col("turn"), F.col("distance"), k % 60, F.abs(F.col("turn") - k % 60), k % 5 > 0, snap=2, longest=60, walk=2, slack=3, most_turn=25.25, most_shift=100, least_turn=1.25, least_shift=1)
     return seam_rows(spark, sf_dir).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -177,12 +178,12 @@ def trajectory_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with recursive {POSES}, n as (select *, row_number() over (partition by session order by t) rn from poses),
  w as (select session, rn, event_id, t, px, py, pz, yaw, true kept from n where rn = 1 union all
   select n.session, n.rn, n.event_id, case when k then n.t else w.t end, case when k then n.px else w.px end, case when k then n.py else w.py end, case when k then n.pz else w.pz end, case when k then n.yaw else w.yaw end, k
-  from (select w.session ws, w.rn wr, w.*, n2.* exclude (session, rn, t, px, py, pz, yaw, event_id), sqrt((n2.px - w.px) ** 2 + (n2.py - w.py) ** 2 + (n2.pz - w.pz) ** 2) >= 100 or abs(n2.yaw - w.yaw) >= 120 or n2.t - w.t >= {72 * HOUR} k from w join n n2 on n2.session = w.session and n2.rn = w.rn + 1) w
+  from (select w.session ws, w.rn wr, w.*, n2.* exclude (session, rn, t, px, py, pz, yaw, event_id), sqrt((n2.px - w.px) ** 2 + (n2.py - w.py) ** 2 + (n2.pz - w.pz) ** 2) >= 100 or abs(n2.yaw - w.yaw) >= 120.25 or n2.t - w.t >= {72 * HOUR} k from w join n n2 on n2.session = w.session and n2.rn = w.rn + 1) w
   join n on n.session = w.ws and n.rn = w.wr + 1)
  select session, event_id from w where kept""")
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses far enough from the last keyframe in place, attitude or time."""
-    rule = poses.keyframe_rule(100, 120, 72 * 3600.0)
+    rule = poses.keyframe_rule(100, 120.25, 72 * 3600.0)
     p = pose_table(spark, sf_dir).select("session", "event_id", "t", *poses.P, *poses.Q)
     return poses.greedy(p, ["session"], ["t"], "session long, event_id long", ["t", *poses.P, *poses.Q], rule)
 
