@@ -95,16 +95,19 @@ def gyro_bridge(gaps: DataFrame, gyro: DataFrame, by: str, max_gap: int, bucket:
 
     def step(a: Column, s: Column) -> Column:
         upto = F.least(s["t"], F.col("t1"))
-        dt = F.greatest(upto - a["t"], F.lit(0)) / second
-        w = [F.coalesce((a[c] + s[c]) / 2, s[c]) for c in ("gx", "gy", "gz")]
-        q = geometry.multiplied(tuple(a["q"][c] for c in Q), _turn(w, dt))  # type: ignore[arg-type]
-        moves = (upto > a["t"]) & (s["t"] > F.col("t0"))
-        rate = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
-        return F.struct(
-            F.when(moves, _as_struct(q)).otherwise(a["q"]).alias("q"), F.when(moves, upto).otherwise(a["t"]).alias("t"),
-            s["gx"].alias("gx"), s["gy"].alias("gy"), s["gz"].alias("gz"),
-            F.when(moves, F.greatest(a["peak"], rate)).otherwise(a["peak"]).alias("peak"), (a["hole"] | (moves & (upto - a["t"] > max_gap))).alias("hole"),
-        ).cast(entry)
+        rates = F.struct(*[F.coalesce((a[c] + s[c]) / 2, s[c]).alias(c) for c in ("gx", "gy", "gz")], (F.greatest(upto - a["t"], F.lit(0)) / second).alias("dt"))
+
+        def moved(w: Column) -> Column:
+            turn = _as_struct(_turn([w[c] for c in ("gx", "gy", "gz")], w["dt"]))
+            q = geometry.let(turn, lambda d: _as_struct(geometry.multiplied(tuple(a["q"][c] for c in Q), tuple(d[c] for c in Q))))  # type: ignore[arg-type]
+            rate = F.sqrt(w["gx"] * w["gx"] + w["gy"] * w["gy"] + w["gz"] * w["gz"])
+            return F.struct(
+                q.alias("q"), upto.alias("t"), s["gx"].alias("gx"), s["gy"].alias("gy"), s["gz"].alias("gz"),
+                F.greatest(a["peak"], rate).alias("peak"), (a["hole"] | (upto - a["t"] > max_gap)).alias("hole"),
+            ).cast(entry)
+
+        still = F.struct(a["q"].alias("q"), a["t"].alias("t"), s["gx"].alias("gx"), s["gy"].alias("gy"), s["gz"].alias("gz"), a["peak"].alias("peak"), a["hole"].alias("hole")).cast(entry)
+        return F.when((upto > a["t"]) & (s["t"] > F.col("t0")), geometry.let(rates, moved)).otherwise(still)
 
     done = rows.withColumn("_g", F.aggregate("_s", start, step))
     covered = (F.size("_s") > 0) & (F.col("_g.t") >= F.col("t1") - max_gap)
