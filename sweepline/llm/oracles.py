@@ -91,3 +91,41 @@ def licenses() -> str:
  l as (select n, {canonical('line')} line from (select n, unnest(string_split(lines, chr(10))) line from d)), t as (select n, sha256(regexp_replace(regexp_replace(line, {quoted(NOTICE)}, ''), ' license$', '')) digest from l where regexp_matches(line, {quoted(NOTICE)})),
  noticed as (select n, array_to_string(list_sort(list_distinct(list(license))), ',') notices from t join titles using (digest) group by n)
  select doc_id, q.digest, texts.license, coalesce(parts, '') parts, coalesce(notices, '') notices from q left join texts on texts.digest = q.digest left join found using (n) left join noticed using (n)"""
+
+
+# ---- conversation trie, hard negatives, embeddings ------------------------------------------------------------
+
+
+def trie() -> str:
+    """Every prefix as a list of its turns' digests, members and subtrees by joins over all prefixes."""
+    shift = "list_reduce(list_prepend(xor(c, b) & 255, range(8)::bigint[]), lambda r, k: xor(r >> 1, case when r % 2 = 1 then 3988292384 else 0 end))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, {shift})))"
+    return f"""with recursive t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''),
+  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) i, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+ h as (select c, {crc} % 4 h from (select distinct c from t)),
+ u as (select h.c, t.i, t.r, t.x from h join t on t.c = h.c - h.c % 20 and t.i <= h.h union all select h.c, t.i, t.r, t.x from h join t using (c) where t.i > h.h),
+ v as (select c, row_number() over (partition by c order by i) d, sha256(length(r) || ':' || r || x) y, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) w from u),
+ l as (select h.c, count(d) n from h left join v using (c) group by h.c),
+ m as (select c, d, list(y) over (partition by c order by d) p, w from v union all select c, 0, []::varchar[], 0 from h),
+ k as (select p, any_value(d) d, min(m.c) c, count(*) n, any_value(w) w, sha256(coalesce(string_agg(m.c::varchar, ',' order by m.c) filter (l.n = d), '')) e from m join l on l.c = m.c group by p),
+ g as (select p[:d - 1] p, count(*) kids from k where d > 0 group by 1),
+ s as (select k.p[:a.a] p, sum((n - 1) * w) saved, count(*) filter (g.p is null) leaves from k left join g on g.p = k.p, lateral (select unnest(range(d + 1)) a) a group by 1)
+ select k.c conv_id, k.d depth, above.c parent_conv_id, k.n n_convs, coalesce(g.kids, 0) n_children, s.leaves n_leaves, s.saved::bigint saved_tokens, k.e ends_sha256
+ from k join s on s.p = k.p left join g on g.p = k.p left join k above on k.d > 0 and above.p = k.p[:k.d - 1]"""
+
+
+def negatives() -> str:
+    return """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding::double[], lambda x: floor(256 * x)) q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id a, a.l al, b.vec_id b, b.l bl, list_dot_product(a.q, b.q)::bigint s from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+ p as (select a, b, s from s where al = bl qualify row_number() over (partition by a order by s desc, b) <= 5)
+ select p.a anchor_id, p.b positive_id, row_number() over (partition by p.a, p.b order by s.s desc, s.b)::int rank, s.b negative_id, p.s positive_score, s.s negative_score
+ from p join s on s.a = p.a and s.al <> s.bl and 80 * p.s <= 100 * s.s and 100 * s.s <= 100 * p.s qualify rank <= 5"""
+
+
+def embedding_groups() -> str:
+    return """with recursive v as (select vec_id, label, embedding::double[] e from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.93 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+ r as (select vec_id a, vec_id b from embeddings union select r.a, l.b from r join l on l.a = r.b)
+ select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from embeddings join (select a, min(b) c from r group by a) on a = vec_id left join (select a x, count(*) n from l group by a) on x = vec_id"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepline.llm import (
-    byte_bpe, chat_format, fingerprint, licenses, lm_scoring, media, mixing, near_dedup, oracles, toxicity, url_filter,
+    byte_bpe, chat_format, embedding_dedup, fingerprint, hard_negatives, licenses, lm_scoring, media, mixing, near_dedup, oracles,
+    prefix_trie, toxicity, url_filter,
 )
 from sweepline.session import table
 
@@ -69,13 +70,32 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("parts", "notices")})
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprint, op2_media, op3_lm_score, op4_chat_format, op5_near_dedup,
-        op6_mix, op7_toxicity, op8_byte_bpe, op9_url_filter, op10_licenses,
+        op6_mix, op7_toxicity, op8_byte_bpe, op9_url_filter, op10_licenses, op11_prefix_trie, op12_hard_negatives, op13_embedding_dedup,
     )
 }
 
 #: Hashes, codecs and trained models are outside SQL; near-duplicates are too slow in it over whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": oracles.chat(EXTRA_TEXT), "op9_url_filter": oracles.urls(), "op10_licenses": oracles.licenses()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": oracles.chat(EXTRA_TEXT),
+    "op9_url_filter": oracles.urls(),
+    "op10_licenses": oracles.licenses(),
+    "op11_prefix_trie": oracles.trie(),
+    "op12_hard_negatives": oracles.negatives(),
+    "op13_embedding_dedup": oracles.embedding_groups(),
+}

@@ -10,7 +10,7 @@ from tests.llm.helpers import SF
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     said = con.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, SF)
