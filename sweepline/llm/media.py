@@ -83,18 +83,24 @@ def decode_media(media: DataFrame) -> DataFrame:
 def pixels(media: DataFrame) -> DataFrame:
     """A row for each file of media, with ``file`` (its place, from 0), ``width``, ``height`` and ``argb`` (32-bit numbers, row by row).
 
-    A row without files has one row of size 0, with a null ``file``.
+    A row without files has one row of size 0, with a null ``file``; a file that can't be read has size 0 and null pixels.
     """
     bounded_batches(media.sparkSession)
     files = media.select("*", F.posexplode_outer("media").alias("file", "one_file__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            images = [webp.decode(f) if f else np.zeros((0, 0), dtype=np.uint32) for f in b.column("one_file__").to_pylist()]
+            images: list[np.ndarray | None] = []
+            for f in b.column("one_file__").to_pylist():
+                try:
+                    images.append(webp.decode(f) if f else np.zeros((0, 0), dtype=np.uint32))
+                except (ValueError, IndexError):
+                    images.append(None)
+            shapes = [(0, 0) if i is None else i.shape for i in images]
             arrays = [
-                pa.array([i.shape[1] for i in images], pa.int32()),
-                pa.array([i.shape[0] for i in images], pa.int32()),
-                pa.array([i.ravel().astype(np.int64) for i in images], pa.list_(pa.int64())),
+                pa.array([w for _, w in shapes], pa.int32()),
+                pa.array([h for h, _ in shapes], pa.int32()),
+                pa.array([None if i is None else i.ravel().astype(np.int64) for i in images], pa.list_(pa.int64())),
             ]
             kept = b.drop_columns(["one_file__"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], [*kept.schema.names, "width", "height", "argb"])

@@ -20,6 +20,7 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE = 1 << 14
 MAX_COPY = 4096
+MAX_CACHE_BITS = 11
 #: Near pixels by plane code: nearest first, on equal distance by |x|, right before left.
 NEAR = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y > 0 or x > 0),
@@ -33,6 +34,11 @@ class Bits:
     def __init__(self, data: bytes = b""):
         self.data, self.at, self.value, self.n = data + bytes(8), 0, 0, 0
 
+    def check(self) -> None:
+        """Zeros follow the data; whoever reads on and on has to ask whether they are being read."""
+        if self.at > 8 * (len(self.data) - 8):
+            raise ValueError("the image ends early")
+
     def read(self, n: int) -> int:
         p = self.at
         self.at = p + n
@@ -53,6 +59,8 @@ class Code:
             return
         self.single, self.width = None, int(lengths.max())
         size = 1 << self.width
+        if int((size >> lengths[used].astype(np.int64)).sum()) != size:
+            raise ValueError("a prefix code that is not complete")
         self.symbols, self.lengths = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for symbol, length, code in canonical(lengths):
             self.symbols[code :: 1 << length] = symbol
@@ -131,6 +139,7 @@ def read_code(bits: Bits, size: int) -> Code:
     at, before = 0, 8
     while at < size and left:
         left -= 1
+        bits.check()
         s = of_lengths.read(bits)
         if s < 16:
             lengths[at] = s
@@ -138,6 +147,8 @@ def read_code(bits: Bits, size: int) -> Code:
             at += 1
         else:
             n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+            if at + n > size:
+                raise ValueError("more code lengths than symbols")
             if s == 16:
                 lengths[at : at + n] = before
             at += n
@@ -166,7 +177,11 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 def read_image_head(bits: Bits, width: int, height: int, main: bool) -> tuple:
     """All that comes before the pixels: cache size, groups of codes, and where they hold."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
+    cache_bits = 0
+    if bits.read(1):
+        cache_bits = bits.read(4)
+        if not 1 <= cache_bits <= MAX_CACHE_BITS:
+            raise ValueError("a colour cache of unknown size")
     groups_at, block, across, n_groups = None, 0, 0, 1
     if main and bits.read(1):
         block = bits.read(3) + 2
@@ -175,7 +190,10 @@ def read_image_head(bits: Bits, width: int, height: int, main: bool) -> tuple:
         groups_at = (meta >> 8) & 0xFFFF
         n_groups = int(groups_at.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[read_code(bits, s) for s in sizes] for _ in range(n_groups)]
+    groups = []
+    for _ in range(n_groups):
+        groups.append([read_code(bits, s) for s in sizes])
+        bits.check()
     return cache_bits, groups, groups_at, block, across
 
 
@@ -183,6 +201,9 @@ def read_pixels(bits: Bits, width: int, height: int, cache_bits: int, groups: li
     first = groups[0]
     if not cache_bits and groups_at is None and all(c.single is not None for c in first[1:4]) and first[0].single is None:
         return read_one_channel(bits, width, width * height, first)
+    if groups_at is None and all(c.single is not None for c in first[:4]) and first[0].single < 256:  # one colour, without a bit for any pixel
+        alpha, red, blue = (first[i].single for i in (3, 1, 2))
+        return np.full(width * height, alpha << 24 | red << 16 | first[0].single << 8 | blue, dtype=np.uint32)
     out: list[int] = []
     total, cache = width * height, [0] * (1 << cache_bits)
     hashed = 0  # pixels that the cache has seen
@@ -193,6 +214,7 @@ def read_pixels(bits: Bits, width: int, height: int, cache_bits: int, groups: li
         return len(out)
 
     while len(out) < total:
+        bits.check()
         codes = first
         if groups_at is not None:
             y, x = divmod(len(out), width)
@@ -204,6 +226,8 @@ def read_pixels(bits: Bits, width: int, height: int, cache_bits: int, groups: li
         elif s < 280:
             n = read_prefixed(bits, s - 256)
             back = distance_of(read_prefixed(bits, codes[4].read(bits)), width)
+            if back > len(out):
+                raise ValueError("a copy from before the image")
             for _ in range(n):
                 out.append(out[-back])
         else:
@@ -266,10 +290,15 @@ def read_one_channel(bits: Bits, width: int, total: int, codes: list[Code]) -> n
         bits.at = 8 * begin + last
         copy = int(green.symbols[window[last]])
         if copy < 256:  # the end of the block
+            if last < m - 15:
+                raise ValueError("bits without a symbol")
             continue
         bits.at += int(green.lengths[window[last]])
         k = min(read_prefixed(bits, copy - 256), total - at)
         back = distance_of(read_prefixed(bits, distances.read(bits)), width)
+        bits.check()
+        if back > at:
+            raise ValueError("a copy from before the image")
         out[at : at + k] = out[at - back : at - back + k] if back >= k else np.resize(out[at - back : at], k)
         at += k
     return out.astype(np.uint32) << np.uint32(8) | np.uint32(rest)
@@ -377,6 +406,8 @@ def read_transforms(bits: Bits, width: int, height: int) -> tuple[list, int]:
     todo = []
     while bits.read(1):
         kind = bits.read(2)
+        if kind in (k for k, _, _ in todo):
+            raise ValueError("a transform that comes twice")
         extra: object = None
         if kind in (PREDICTOR, CROSS_COLOUR):
             block = bits.read(3) + 2
@@ -392,18 +423,21 @@ def read_transforms(bits: Bits, width: int, height: int) -> tuple[list, int]:
     return todo, width
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, most: int = 1 << 25) -> np.ndarray:
     """The pixels of a lossless WebP file: a (height, width) array of ARGB numbers.
 
-    Heads that many images share, bit for bit, are parsed once.
+    Heads that many images share, bit for bit, are parsed once. A damaged file, and one of over ``most`` pixels (which bounds the
+    memory of a reader), is a ValueError or an IndexError; no file keeps the reader for ever.
     """
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+    if len(data) < 26 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
+    if width * height > most:
+        raise ValueError("more pixels than the reader takes")
     begin = bits.data[4:20]
     n, value, parsed = _heads.get(begin, (0, 0, ()))
     if n and int.from_bytes(bits.data[4 : 4 + (n + 7) // 8], "little") & ((1 << n) - 1) == value and parsed[0] == width:
