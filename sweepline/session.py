@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixed tables. Reads go through Spark alone, so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the folder that the session names; only a local session without one gets its own."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sweepline-"))
+    return df.checkpoint()
