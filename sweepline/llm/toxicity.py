@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import bounded_batches, discard, extended, text_of, written
+from sweepline.llm.common import bounded_batches, discard, extended, release_memory, text_of, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CLASSES = ("ordinary", "toxic")
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Fit
         return None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     del model
+    release_memory()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
