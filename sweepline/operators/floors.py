@@ -65,7 +65,8 @@ def hypotheses(band: DataFrame, by: Sequence[str], p: Level) -> DataFrame:
 
     A group has at most ``p.hypotheses`` of them, each of three of its ``p.hypotheses`` seeded points.
     """
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(p.seed), "x", "y", "z"), "x", "y", "z")
+    whole = F.concat_ws(",", F.lit(p.seed), *[F.floor(F.col(a) * FINE).cast("string") for a in "xyz"])
+    order = Window.partitionBy(*by).orderBy(F.md5(whole), "x", "y", "z")
     seeds = band.select(*by, "x", "y", "z").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= p.hypotheses)
     lists = seeds.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_r", "x", "y", "z"))).alias("_s"))
     n = F.size("_s")
