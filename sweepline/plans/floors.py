@@ -27,9 +27,9 @@ TILTED = """p as (select l_returnflag session, l_partkey % 400 / 100::double - 2
 
 @query(f"""with {TILTED}, o as (select session, count(*) points, list_sort(list(y)) v from p group by session), s as (select session, points, v[floor(0.01::double * (points - 1) + 0.5)::int + 1] lo, v[floor(0.99::double * (points - 1) + 0.5)::int + 1] hi from o),
  b as (select p.session, x, y, z from p join s using (session) where y > lo - 0.05 and y < lo + 0.25 * (hi - lo)), ok as (select session from b group by session having count(*) >= 500),
- d as (select distinct * from b), q as (select *, row_number() over (partition by session order by md5('1,' || floor(x * 65536)::bigint || ',' || floor(y * 65536)::bigint || ',' || floor(z * 65536)::bigint), x, y, z) - 1 nth from d), w as (select session, least(500, count(*)) n from d join ok using (session) group by session),
- h as (select session, h, a.x ax, a.y ay, a.z az, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) cz, sqrt(cx * cx + cy * cy + cz * cz) len
-  from w cross join range(500) r(h) join q a using (session) join q b using (session) join q c using (session) where a.nth = h % n and b.nth = (7 * h + 1) % n and c.nth = (13 * h + 5) % n),
+ d as (select distinct * from b), q as (select *, row_number() over (partition by session order by md5('1,' || floor(x * 65536)::bigint || ',' || floor(y * 65536)::bigint || ',' || floor(z * 65536)::bigint), x, y, z) - 1 nth from d qualify nth < 500), w as (select session, list({{'x': x, 'y': y, 'z': z}} order by nth) s from q join ok using (session) group by session),
+ t as (select session, h, s[h % len(s) + 1] a, s[(7 * h + 1) % len(s) + 1] b, s[(13 * h + 5) % len(s) + 1] c from w, range(500) r(h)),
+ h as (select session, h, a.x ax, a.y ay, a.z az, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) cz, sqrt(cx * cx + cy * cy + cz * cz) len from t),
  f as (select session, h, k * cx nx, k * cy ny, k * cz nz, -(nx * ax + ny * ay + nz * az) d from (select *, (case when cy < 0 then -1.0::double else 1.0::double end) / len k from h where len > 0) where k * cy >= 0.70710678),
  c as (select session, h, count(*) n from b join f using (session) where abs(nx * x + ny * y + nz * z + d) < 0.02 group by all), g as (select session, h from c qualify row_number() over (partition by session order by n desc, h) = 1),
  i as (select b.* from b join g using (session) join f using (session, h) where abs(nx * x + ny * y + nz * z + d) < 0.02), m as (select session, count(*) inliers, count(distinct (floor(x * 4), floor(z * 4))) / 16 area, covar_pop(floor(x * 65536), floor(x * 65536)) / 65536 ** 2 cxx,
