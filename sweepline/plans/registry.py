@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sweepline.plans import building as building
 from sweepline.plans import floors as floors
 from sweepline.plans import gnss as gnss
 from sweepline.plans import maps as maps
