@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sweepline.sources import serial
+
 POLYNOMIAL = 0x1864CFB
 PREAMBLE, HEADER, TAIL = 0xD3, 3, 3
 
@@ -32,10 +34,10 @@ def crc24q(data: bytes) -> int:
     return c
 
 
-def frames_of(data: bytes) -> list[tuple[int, int, bool, int | None]]:
-    """(place, length, checksum ok, message type) of the frames of a byte string; after a bad one the search goes on a byte later."""
-    out, at = [], 0
-    while (at := data.find(PREAMBLE, at)) >= 0 and at + HEADER <= len(data):
+def frames_of(data: bytes, own: int | None = None) -> list[tuple[int, int, bool, int | None]]:
+    """(place, length, checksum ok, message type) of the frames that begin in the first ``own`` bytes; after a bad one the search goes on a byte later."""
+    out, at, own = [], 0, len(data) if own is None else own
+    while (at := data.find(PREAMBLE, at)) >= 0 and at < own and at + HEADER <= len(data):
         size = (data[at + 1] & 3) << 8 | data[at + 2]
         end = at + HEADER + size + TAIL
         if data[at + 1] & 0xFC or end > len(data):
@@ -48,21 +50,18 @@ def frames_of(data: bytes) -> list[tuple[int, int, bool, int | None]]:
     return out
 
 
-def validated(bursts: DataFrame) -> DataFrame:
-    """session, seq, t, place, size, good, kind of the frames of each burst (session, seq, t, payload); a frame lies in one burst."""
+def validated(bursts: DataFrame, block: int = serial.BLOCK) -> DataFrame:
+    """session, seq, t, at, size, good, kind of the frames of streams (session, seq, t, payload); a frame may lie across any number of bursts.
+
+    seq and t are of the burst in which a frame begins, at is its place in the session's stream.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (s, n, t, *f)
-                for s, n, t, p in zip(*(b.column(c).to_pylist() for c in ("session", "seq", "t", "payload")), strict=True)
-                for f in frames_of(p or b"")
-            ]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["session", "seq", "t", "place", "size", "good", "kind"])
+    def whole(data: bytes, own: int) -> Iterator[tuple]:
+        for at, size, good, kind in frames_of(data, own):
+            yield at, HEADER + size + TAIL, size, good, kind
 
-    return bursts.select("session", "seq", "t", "payload").mapInArrow(run, "session long, seq long, t long, place long, size long, good boolean, kind long")
+    found = serial.searched(bursts, whole, "size long, good boolean, kind long", HEADER + 1023 + TAIL, "good", {"good": pa.bool_()}, block)
+    return found.drop("whole")
 
 
 def message_counts(frames: DataFrame, now: int) -> DataFrame:

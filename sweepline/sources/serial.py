@@ -1,21 +1,23 @@
 """Serial scanners: packets found in byte streams, decoded to samples.
 
-A stream is rows (session, seq, t, payload) whose payloads follow each other. A packet may cross the seams of rows: each row is
-searched together with the first bytes of those behind it, as many as the longest packet has, and keeps the packets that
-begin in it. So rows are searched in any task, and no task holds a session. Packets are found by their first bytes, a
-plausible head and the checksum; the search goes on behind a good packet, and inside a bad one. A packet that begins inside a
-good one before it is dropped. Angles are then a matter of columns, the step of the packet before being carried in buckets.
+A stream is rows (session, seq, t, payload) whose payloads follow each other. It is cut into blocks of bytes, whatever the
+rows' sizes; each block is searched together with as many bytes behind it as the longest packet has, and keeps the packets
+that begin in it. So a packet may lie across any number of rows, blocks are searched in any task, and no task holds a session.
+Packets are found by their first bytes, a plausible head and the checksum; the search goes on behind a good packet, and inside a bad
+one. A packet that begins inside a good one before it is dropped. Angles are then a matter of columns, the step of the packet
+before being carried in buckets.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sweepline.operators.prefix import with_previous, with_running
 
@@ -79,47 +81,78 @@ def stl_packets(data: bytes, own: int) -> list[tuple]:
     return out
 
 
-D6_FIELDS = "place long, size long, vendor_ok boolean, literal_ok boolean, start boolean, frequency long, first long, last long, samples array<struct<distance: long, intensity: long, bright: boolean>>"
-STL_FIELDS = "place long, size long, ok boolean, speed long, first long, last long, ms long, samples array<struct<distance: long, intensity: long>>"
+D6_FIELDS = "vendor_ok boolean, literal_ok boolean, start boolean, frequency long, first long, last long, samples array<struct<distance: long, intensity: long, bright: boolean>>"
+STL_FIELDS = "ok boolean, speed long, first long, last long, ms long, samples array<struct<distance: long, intensity: long>>"
 FORMS: dict[str, tuple[Callable, str, int, str]] = {
     "d6": (d6_packets, D6_FIELDS, D6_MOST, "vendor_ok"),
     "stl": (stl_packets, STL_FIELDS, STL_BYTES, "ok"),
 }
 
 
-def with_following(chunks: DataFrame, most: int, rows: int) -> DataFrame:
-    """chunks with ``more``: the first ``most`` bytes of the ``rows`` chunks behind each.
+#: Bytes of a block.
+BLOCK = 1 << 16
 
-    Chunks of a recording have at least the size that makes so many rows enough.
-    """
-    order = Window.partitionBy("session").orderBy("seq")
-    heads = [F.coalesce(F.lead(F.substring("payload", 1, most), i).over(order), F.lit(b"")) for i in range(1, rows + 1)]
-    return chunks.withColumn("more", F.substring(F.concat(*heads), 1, most))
 
+def blocks(chunks: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """session, block, pieces: the bytes of each block and the ``most`` behind it, as pieces (base, seq, t, bytes) in order.
 
-def packets(chunks: DataFrame, form: str, rows: int = 2) -> DataFrame:
-    """session, seq, t and the fields of every packet that stands by itself, good or bad. chunks: (session long, seq long, t long, payload)."""
-    find, fields, most, good = FORMS[form]
-    names = [f.split(" ")[0] for f in fields.split("array<")[0].split(", ")]
-    sample = pa.struct([("distance", pa.int64()), ("intensity", pa.int64()), *([("bright", pa.bool_())] if form == "d6" else [])])
-    kinds = {"vendor_ok": pa.bool_(), "literal_ok": pa.bool_(), "ok": pa.bool_(), "start": pa.bool_(), "samples": pa.list_(sample)}
+    base is a piece's place in its session's stream. A row holds at most ``block + most`` bytes. Only the sizes of chunks are summed
+    along a session, in buckets.
+    """
+    at = chunks.select("session", "seq", "t", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    bases = with_running(at.select("session", "seq", "n"), ["session"], ["seq"], {"_upto": F.col("n")}, F.expr("seq div 1000"))
+    at = at.join(bases.select("session", "seq", (F.col("_upto") - F.col("n")).alias("base")), ["session", "seq"]).where("n > 0")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("base") - most) / block)), F.floor((F.col("base") + F.col("n") - 1) / block)
+    at = at.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    low = F.greatest(F.col("base"), F.col("block") * block)
+    high = F.least(F.col("base") + F.col("n"), (F.col("block") + 1) * block + most)
+    cut = F.substring("payload", (low - F.col("base") + 1).cast("int"), (high - low).cast("int"))
+    pieces = at.where(high > low).select("session", "block", F.struct(low.alias("base"), "seq", "t", cut.alias("bytes")).alias("p"))
+    return pieces.groupBy("session", "block").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
+
+
+def searched(chunks: DataFrame, find: Callable, fields: str, most: int, good: str, kinds: dict[str, pa.DataType], block: int = BLOCK) -> DataFrame:
+    """session, seq, t, at and ``fields`` of what find(bytes, own) lists: tuples of a place, the whole size, and the fields.
+
+    seq and t are of the row in which a packet begins, at is its place in the session's stream. What begins inside an
+    earlier packet that is ``good`` is left out.
+    """
+    names = [f.strip().split(" ")[0] for f in re.sub(r"<.*>", "", fields).split(",")]
+    columns = ["session", "seq", "t", "at", "whole", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for s, n, t, own, more in zip(*(b.column(c).to_pylist() for c in ("session", "seq", "t", "payload", "more")), strict=True):
-                found += [(s, n, t, *p) for p in find((own or b"") + (more or b""), len(own or b""))]
-            columns = list(zip(*found, strict=True)) if found else [[]] * (3 + len(names))
-            of = lambda c, values: pa.array([[dict(zip(("distance", "intensity", "bright"), x, strict=False)) for x in v] if v is not None else None for v in values] if c == "samples" else values, kinds.get(c, pa.int64()))
-            yield pa.RecordBatch.from_arrays([of(c, v) for c, v in zip(["session", "seq", "t", *names], columns, strict=True)], ["session", "seq", "t", *names])
-
-    rows_ = with_following(chunks, most, rows).select("session", "seq", "t", "payload", "more")
-    found = rows_.mapInArrow(run, f"session long, seq long, t long, {fields}")
-    # places in the whole stream tell which packets begin inside a good one
-    sizes = with_running(chunks.select("session", "seq", F.octet_length("payload").alias("n")), ["session"], ["seq"], {"_upto": F.col("n")}, F.expr("seq div 1000"))
-    at = found.join(sizes.select("session", "seq", (F.col("_upto") - F.col("n")).alias("_base")), ["session", "seq"]).withColumn("at", F.col("_base") + F.col("place"))
-    alone = with_running(at, ["session"], ["at"], {}, F.expr("at div 1000000"), {"_end": F.when(F.col(good), F.col("at") + F.col("size"))})
-    return alone.where("_end is null or at >= _end").drop("_base", "_end", "place")
+            for session, number, pieces in zip(*(b.column(c).to_pylist() for c in ("session", "block", "pieces")), strict=True):
+                bases, start = [p["base"] for p in pieces], number * block
+                for place, *rest in find(b"".join(p["bytes"] for p in pieces), (number + 1) * block - bases[0]):
+                    at = bases[0] + place
+                    if at >= start:
+                        p = pieces[bisect_right(bases, at) - 1]
+                        found.append((session, p["seq"], p["t"], at, *rest))
+            values = list(zip(*found, strict=True)) if found else [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in zip(columns, values, strict=True)], columns)
+
+    found = blocks(chunks, most, block).mapInArrow(run, f"session long, seq long, t long, at long, whole long, {fields}")
+    alone = with_running(found, ["session"], ["at"], {}, F.expr("at div 1000000"), {"_end": F.when(F.col(good), F.col("at") + F.col("whole"))})
+    return alone.where("_end is null or at >= _end").drop("_end")
+
+
+def packets(chunks: DataFrame, form: str, block: int = BLOCK) -> DataFrame:
+    """session, seq, t, at, size and the fields of every packet that stands by itself, good or bad. chunks: (session long, seq long, t long, payload).
+
+    Rows may be of any size, down to single bytes; null and empty payloads have none.
+    """
+    find, fields, most, good = FORMS[form]
+    bright = form == "d6"
+    sample = pa.struct([("distance", pa.int64()), ("intensity", pa.int64()), *([("bright", pa.bool_())] if bright else [])])
+    kinds = {"vendor_ok": pa.bool_(), "literal_ok": pa.bool_(), "ok": pa.bool_(), "start": pa.bool_(), "samples": pa.list_(sample)}
+
+    def listed(data: bytes, own: int) -> Iterator[tuple]:
+        for place, size, *rest, samples in find(data, own):
+            yield place, size, *rest, None if samples is None else [dict(zip(("distance", "intensity", "bright"), x, strict=False)) for x in samples]
+
+    return searched(chunks, listed, fields, most, good, kinds, block).withColumnRenamed("whole", "size")
 
 
 def wrapped(angle: Column, full: float) -> Column:
