@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sweepline.functions import nmea
 from sweepline.operators.ordered import sections
-from sweepline.operators.prefix import with_previous
+from sweepline.operators.prefix import with_previous, with_running
+from sweepline.session import checkpointed
 
 KNOT = 0.514444444
 VERTICAL = 1.6  # sigma of heights over that of places, where no sentence says it
@@ -22,7 +23,7 @@ def epochs(sentences: DataFrame, by: Sequence[str], order: Sequence[str], bucket
 
     A burst ends where a sentence has another second (by more than half a millisecond); GSA and VTG have none and belong
     to the open burst. The last sentence of a kind counts. Places come from GGA, then from a valid RMC; the rest fills in.
-    Bursts without GGA and RMC give no fix.
+    Bursts without GGA and RMC give no fix. Times are null until a session's first date.
     """
     second = F.coalesce("gga.sod", "rmc.sod", "gst.sod")
     at = with_previous(sentences.withColumn("_sod", second), by, order, {"_before": "_sod"}, bucket, nulls=False)
@@ -51,11 +52,16 @@ def epochs(sentences: DataFrame, by: Sequence[str], order: Sequence[str], bucket
         "sigma_north": of(F.col("gst.lat_sigma")), "sigma_east": of(F.col("gst.lon_sigma")), "sigma_up": of(F.col("gst.alt_sigma"), VERTICAL),
         "sigma_from_gst": F.coalesce(all_sigmas | ellipse, F.lit(False)),
     }).drop(*kinds)
-    # a date holds until the next one; where the second falls back by half a day without a date of its own, a day has passed
-    held = with_previous(rows, by, ["epoch"], {"_date": "date", "_sod": "sod"}, F.lit(0), nulls=False)
+    rows = checkpointed(rows)  # one row for each burst; what follows reads them again and again
+    # a date holds until the next one; each time the second falls back by half a day without a date of its own, a day has passed
+    few, turn = F.expr("epoch div 1000"), ["epoch"]
+    held = with_previous(rows, by, turn, {"_sod": "sod"}, few, nulls=False)
     passed = F.col("date").isNull() & (F.col("sod") + 43200 < F.col("_sod"))
-    day = F.coalesce("date", F.when(passed, F.date_add("_date", 1)).otherwise(F.col("_date")))
-    return held.withColumn("utc_ns", nmea.unix_nanos(day, F.col("sod"))).drop("date", "_date", "_sod")
+    held = with_running(held, by, turn, {"_days": F.coalesce(passed.cast("long"), F.lit(0))}, few)
+    held = held.withColumn("_stamp", F.when(F.col("date").isNotNull(), F.struct("date", "_days")))
+    held = with_previous(held, by, turn, {"_held": "_stamp"}, few, nulls=False).withColumn("_held", F.coalesce("_stamp", "_held"))
+    day = F.date_add("_held.date", (F.col("_days") - F.col("_held._days")).cast("int"))
+    return held.withColumn("utc_ns", nmea.unix_nanos(day, F.col("sod"))).drop("date", "_sod", "_days", "_stamp", "_held")
 
 
 def thinned(rows: DataFrame, by: Sequence[str], t: str, least: int, schema: str) -> DataFrame:

@@ -320,13 +320,30 @@ def mean_attitude(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return mean.join(off.groupBy(*by).agg(F.sqrt(F.avg(turn * turn)).alias("spread")), list(by))
 
 
-def hold_of(q: geometry.Quaternion) -> Column:
-    """How a device is held: the axis of its own that points up most, with its sign."""
-    up = geometry.rotated(geometry.conjugate(q), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    x, y, z = up
-    most = F.greatest(F.abs(x), F.abs(y), F.abs(z))
-    return (
-        F.when(F.abs(y) == most, F.when(y > 0, "portrait").otherwise("upside_down"))
-        .when(F.abs(x) == most, F.when(x > 0, "landscape_left").otherwise("landscape_right"))
-        .otherwise(F.when(z > 0, "face_up").otherwise("face_down"))
-    )
+#: How far from flat a device must be for its way up to mean something, and half a quadrant, in degrees.
+LEAST_TILT, HALF_QUADRANT = 20.0, 45.0
+
+
+def hold_of(q: geometry.Quaternion, sensor_degrees: Column | float = 90.0) -> Column:
+    """How a device is held at an attitude of its rear camera, as a struct of orientation, angle, pitch, tilt and confident.
+
+    The world's up (y) is turned into the camera's frame and, by the camera's mounting (90 degrees where it is null), into the
+    device's. angle is its bearing in the screen's plane, 0 where the screen's own up is; pitch how far the screen leans back; tilt
+    how far it is from flat. The bearing's quadrant is the orientation; a device too flat to be sure counts as portrait.
+    """
+    half = F.radians(F.coalesce(F.lit(sensor_degrees) if isinstance(sensor_degrees, float) else sensor_degrees.cast("double"), F.lit(90.0))) / 2
+    mounted = (F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
+    up = geometry.rotated(geometry.conjugate(mounted), *geometry.rotated(geometry.conjugate(q), F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+
+    def read(u: Column) -> Column:
+        flat = F.sqrt(u["x"] * u["x"] + u["y"] * u["y"])
+        angle, sure = F.degrees(F.atan2(u["x"], u["y"])), flat >= F.sin(F.radians(F.lit(LEAST_TILT)))
+        way = (
+            F.when(~sure | ((angle >= -HALF_QUADRANT) & (angle < HALF_QUADRANT)), "portrait")
+            .when((angle >= HALF_QUADRANT) & (angle < 180 - HALF_QUADRANT), "landscape_left")
+            .when((angle >= HALF_QUADRANT - 180) & (angle < -HALF_QUADRANT), "landscape_right")
+            .otherwise("portrait_reverse")
+        )
+        return F.struct(way.alias("orientation"), angle.alias("angle"), F.degrees(F.atan2(u["z"], flat)).alias("pitch"), F.degrees(F.atan2(flat, F.abs(u["z"]))).alias("tilt"), sure.alias("confident"))
+
+    return geometry.let(F.struct(*[c.alias(k) for c, k in zip(up, "xyz", strict=True)]), read)

@@ -173,18 +173,19 @@ def fix_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with b as (select distinct event_id // 100 session, event_id // 5 b from events), f as (select *, b % 3 > 0 gga, b % 7 > 0 and b % 2 = 0 rmc, b % 4 > 0 gst from b),
  g as (select *, case when gga then case b % 9 when 1 then 'single' when 2 then 'dgps' when 3 then 'single' when 4 then 'rtk_fixed' when 5 then 'rtk_float' when 8 then 'single' else 'none' end
   when rmc then case b % 5 when 0 then 'single' when 1 then 'dgps' when 2 then 'rtk_fixed' when 3 then 'rtk_float' else 'none' end else 'none' end fix, (b % 7) + 0.5 hdop from f),
- s as (select *, case fix {' '.join(f"when '{k}' then {v[0]}" for k, v in nmea.FIXES.items())} end * greatest(0.5, least(5, hdop)) plain from g)
+ s as (select *, case fix {' '.join(f"when '{k}' then {v[0]}" for k, v in nmea.FIXES.items())} end * greatest(0.5, least(5, hdop)) plain from g),
+ o as (select session, b, (b % 24) * 3600 + (b % 60) * 60 + b * 7 % 60 sod, case when b % 7 > 0 then make_date(2024, 2, (b % 28 + 1)::int) end own from f), c as (select *, sod + 43200 < lag(sod) over (partition by session order by b) and own is null fell from o),
+ n as (select *, count(*) filter (fell) over (partition by session order by b rows unbounded preceding) gone from c), t as (select session, b, sod, gone - last_value(case when own is not null then gone end ignore nulls) over w since, last_value(own ignore nulls) over w held from n window w as (partition by session order by b rows unbounded preceding))
  select session, b - min(b) over (partition by session) epoch, fix, round(case when gga or rmc then (b % 80) + ((b % 60) + 0.5) / 60 end, 7) lat, round(case when gga or rmc then -((b % 180) + ((b % 59) + 0.25) / 60) end, 7) lon,
  case when gga then 147.0 else 0.0 end::double height, round((case when b % 7 > 0 then b % 30 else b % 40 end) * 0.514444444, 6) speed, case when b % 7 > 0 then 90.0 else 45.0 end::double course,
  round(case when gst then (b % 9 + 1) / 10.0 else plain end, 6) sigma_north, round(case when gst then (b % 8 + 1) / 10.0 else plain end, 6) sigma_east, round(case when gst then 0.9 else plain * 1.6 end, 6) sigma_up, gst sigma_from_gst,
- case when b % 7 > 0 then epoch_us(make_date(2024, 2, (b % 28 + 1)::int)::timestamp) * 1000 + ((b % 24) * 3600 + (b % 60) * 60 + b * 7 % 60) * 1000000000::bigint end utc_ns from s""")
+ epoch_us((held + since::int)::timestamp) * 1000 + sod * 1000000000::bigint utc_ns from s join t using (session, b)""")
 def epoch_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fix for each burst; times of bursts with a date of their own."""
+    """One fix for each burst; a date holds until the next, over midnight."""
     e = gnss.epochs(bursts(spark, sf_dir), ["session"], ["seq"], F.expr("seq div 25"))
-    own = F.when(F.expr("opened.seq div 5") % 7 > 0, F.col("utc_ns"))
     return e.select(
         "session", "epoch", "fix", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"), "height", r("speed").alias("speed"), "course",
-        *[r(f"sigma_{a}").alias(f"sigma_{a}") for a in ("north", "east", "up")], "sigma_from_gst", own.alias("utc_ns"),
+        *[r(f"sigma_{a}").alias(f"sigma_{a}") for a in ("north", "east", "up")], "sigma_from_gst", "utc_ns",
     )
 
 

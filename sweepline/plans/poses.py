@@ -299,9 +299,16 @@ def keyframe_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("event_id", *[r(a, 5).alias(a) for a in poses.P])
 
 
-@query("""with a as (select c_custkey, c_custkey % 4 q from customer) select c_custkey, case q when 0 then 'face_up' when 1 then 'portrait' when 2 then 'face_down' else 'upside_down' end hold from a""")
+@query("""with a as (select c_custkey, radians(c_custkey % 24 * 15 + 7) a, radians(c_custkey % 7 * 25 - 75) b, case when c_custkey % 3 = 1 then -1 else 1 end s from customer),
+ u as (select c_custkey, s * cos(a) * cos(b) x, -s * sin(a) * cos(b) y, -sin(b) z from a), g as (select *, sqrt(x * x + y * y) >= sin(radians(20)) confident, degrees(atan2(x, y)) angle from u)
+ select c_custkey, case when not confident or (angle >= -45 and angle < 45) then 'portrait' when angle >= 45 and angle < 135 then 'landscape_left' when angle >= -135 and angle < -45 then 'landscape_right' else 'portrait_reverse' end orientation,
+ round(angle, 6) angle, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) pitch, round(degrees(atan2(sqrt(x * x + y * y), abs(z))), 6) tilt, confident from g""")
 def hold_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A device turned about its x axis by quarters, and a little more."""
-    half = F.radians(F.col("c_custkey") % 4 * 90.0 + 10) / 2
-    q = (F.sin(half), F.lit(0.0), F.lit(0.0), F.cos(half))
-    return table(spark, sf_dir, "customer").select("c_custkey", poses.hold_of(q).alias("hold"))
+    """Devices turned about their camera's axis and leaned, with cameras mounted at 90, 270 and unknown degrees."""
+    k = F.col("c_custkey")
+    turn, lean = F.radians(k % 24 * 15.0 + 7) / 2, F.radians(k % 7 * 25.0 - 75) / 2
+    zero = F.lit(0.0)
+    q = geometry.multiplied((F.sin(lean), zero, zero, F.cos(lean)), (zero, zero, F.sin(turn), F.cos(turn)))
+    hold = poses.hold_of(q, F.when(k % 3 == 0, 90).when(k % 3 == 1, 270))
+    return table(spark, sf_dir, "customer").select("c_custkey", hold.alias("h")).select("c_custkey", "h.orientation", *[r(f"h.{c}").alias(c) for c in ("angle", "pitch", "tilt")], "h.confident")
+

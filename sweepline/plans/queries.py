@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sweepline.functions import geodesy, geometry
 from sweepline.operators import asof, merge, ordered, spatial
-from sweepline.operators.prefix import with_previous
+from sweepline.operators.prefix import with_previous, with_running
 from sweepline.plans.bindings import CLOUD, ORDER, TRACK, VECTORS, cloud, track, vectors
 from sweepline.session import table
 from sweepline.sources import packets, sinks
@@ -437,14 +437,13 @@ def clock_sweep_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- tables of jobs and texts --------------------------------------------------------------------------------
 
 
-@query("""select o_orderkey, row_number() over (partition by o_orderstatus order by o_orderpriority, o_orderkey, o_custkey, o_totalprice) turn, o_orderstatus from orders
- qualify turn <= 100""")
+@query("""select o_orderkey, row_number() over (partition by o_orderstatus order by o_orderpriority, o_orderkey, o_custkey, o_totalprice) turn, o_orderstatus from orders""")
 def job_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each state's next hundred jobs: higher priority first, then the older job."""
-    from pyspark.sql.window import Window
-
-    turn = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", turn.cast("long").alias("turn"), "o_orderstatus").where("turn <= 100")
+    """Each state's jobs in their order: higher priority first, then the older job; counted in buckets of a priority's keys."""
+    order = ["o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice"]
+    bucket = F.struct("o_orderpriority", F.expr("o_orderkey div 4096").alias("k"))
+    jobs = with_running(table(spark, sf_dir, "orders").select("o_orderstatus", *order), ["o_orderstatus"], order, {"turn": F.lit(1).cast("long")}, bucket)
+    return jobs.select("o_orderkey", "turn", "o_orderstatus")
 
 
 @query("select o_orderstatus, count(*) n, round(sum(o_totalprice), 2) total from orders group by all")
