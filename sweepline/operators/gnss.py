@@ -26,7 +26,7 @@ def epochs(sentences: DataFrame, by: Sequence[str], order: Sequence[str], bucket
     Bursts without GGA and RMC give no fix. Times are null until a session's first date.
     """
     second = F.coalesce("gga.sod", "rmc.sod", "gst.sod")
-    at = with_previous(sentences.withColumn("_sod", second), by, order, {"_before": "_sod"}, bucket, nulls=False)
+    at = with_previous(sentences.withColumn("_sod", second), by, order, {"_before": "_sod"}, bucket, nulls=False, keep=True)
     cut = sections(at, by, order, F.abs(F.col("_sod") - F.col("_before")) > 5e-4, bucket).withColumnRenamed("section", "epoch")
     kinds = [k.lower() for k in nmea.DECODERS]
     place = F.struct(*order)
@@ -55,9 +55,9 @@ def epochs(sentences: DataFrame, by: Sequence[str], order: Sequence[str], bucket
     rows = checkpointed(rows)  # one row for each burst; what follows reads them again and again
     # a date holds until the next one; each time the second falls back by half a day without a date of its own, a day has passed
     few, turn = F.expr("epoch div 1000"), ["epoch"]
-    held = with_previous(rows, by, turn, {"_sod": "sod"}, few, nulls=False)
+    held = with_previous(rows, by, turn, {"_sod": "sod"}, few, nulls=False, keep=True)
     passed = F.col("date").isNull() & (F.col("sod") + 43200 < F.col("_sod"))
-    held = with_running(held, by, turn, {"_days": F.coalesce(passed.cast("long"), F.lit(0))}, few)
+    held = with_running(held, by, turn, {"_days": F.coalesce(passed.cast("long"), F.lit(0))}, few, keep=True)
     held = held.withColumn("_stamp", F.when(F.col("date").isNotNull(), F.struct("date", "_days")))
     held = with_previous(held, by, turn, {"_held": "_stamp"}, few, nulls=False).withColumn("_held", F.coalesce("_stamp", "_held"))
     day = F.date_add("_held.date", (F.col("_days") - F.col("_held._days")).cast("int"))

@@ -19,7 +19,7 @@ def sections(rows: DataFrame, by: Sequence[str], order: Sequence[str], breaks: C
 
 def path_length(rows: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str], bucket: Column) -> DataFrame:
     """rows with ``path`` (length so far) and ``loop_fraction`` (its share of the whole)."""
-    at = with_previous(rows, by, order, {f"_{a}": a for a in axes}, bucket)
+    at = with_previous(rows, by, order, {f"_{a}": a for a in axes}, bucket, keep=True)
     square = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
     path = with_running(at, by, order, {"path": F.sqrt(square)}, bucket).drop(*[f"_{a}" for a in axes])
     whole = path.groupBy(*by).agg(F.max("path").alias("_whole"))  # one row a session
@@ -29,13 +29,13 @@ def path_length(rows: DataFrame, by: Sequence[str], order: Sequence[str], axes:
 
 def merged_intervals(rows: DataFrame, by: Sequence[str], join_gap: float, bucket: Column) -> DataFrame:
     """Unions of (lo, hi) intervals that overlap or lie within join_gap of each other."""
-    at = with_running(rows.where("lo <= hi"), by, ["lo", "hi"], {}, bucket, {"_reach": F.col("hi")})
+    at = with_running(rows.where("lo <= hi"), by, ["lo", "hi"], {}, bucket, {"_reach": F.col("hi")}, keep=True)
     return sections(at, by, ["lo", "hi"], F.col("lo") > F.col("_reach") + join_gap, bucket).groupBy(*by, "section").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
 
 
 def runs(rows: DataFrame, by: Sequence[str], t: str, gap: float, pad: float, least: float, bucket: Column) -> DataFrame:
     """Runs of sorted values split at gaps, padded, the short ones dropped."""
-    at = with_previous(rows, by, [t], {"_t": t}, bucket)
+    at = with_previous(rows, by, [t], {"_t": t}, bucket, keep=True)
     found = sections(at, by, [t], F.col(t) - F.col("_t") > gap, bucket).groupBy(*by, "section").agg((F.min(t) - pad).alias("lo"), (F.max(t) + pad).alias("hi"), F.count("*").alias("n"))
     return found.where(F.col("hi") - F.col("lo") >= least)
 
@@ -47,7 +47,7 @@ def interval_overlap(a: DataFrame, b: DataFrame, by: Sequence[str], bucket: Colu
     """
     ends = lambda d, c: d.where("lo < hi").select(*by, F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias(c)), F.struct(F.col("hi").alias("at"), F.lit(-1).alias(c)))).alias("e")).select(*by, "e.*")
     both = ends(a, "_a").unionByName(ends(b, "_b2"), True).fillna(0, ["_a", "_b2"]).groupBy(*by, "at").agg(F.sum("_a").alias("_a"), F.sum("_b2").alias("_b2"))
-    open_ = with_running(both, by, ["at"], {"_in_a": F.col("_a"), "_in_b": F.col("_b2")}, bucket)
+    open_ = with_running(both, by, ["at"], {"_in_a": F.col("_a"), "_in_b": F.col("_b2")}, bucket, keep=True)
     # a stretch begins at the end before it: that one's state holds up to here
     swept = with_previous(open_, by, ["at"], {"_from": "at", "_pa": "_in_a", "_pb": "_in_b"}, bucket)
     return swept.where("_pa > 0 and _pb > 0").groupBy(*by).agg(F.sum(F.col("at") - F.col("_from")).alias("overlap"))

@@ -342,7 +342,7 @@ def arrival_order_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
  select user_id, section::bigint section, count(*) n, min(t) t_first, max(t) t_last from s group by all""")
 def section_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["t", "event_id"]
-    at = with_previous(track(spark, sf_dir), ["user_id"], order, {"before": "t"}, weeks())
+    at = with_previous(track(spark, sf_dir), ["user_id"], order, {"before": "t"}, weeks(), keep=True)
     s = ordered.sections(at, ["user_id"], order, F.col("t") - F.col("before") > 12 * HOUR, weeks())
     return s.groupBy("user_id", "section").agg(F.count("*").alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
 
