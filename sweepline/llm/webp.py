@@ -33,10 +33,11 @@ class Bits:
 
     def __init__(self, data: bytes = b""):
         self.data, self.at, self.value, self.n = data + bytes(8), 0, 0, 0
+        self.end = 8 * len(data)
 
     def check(self) -> None:
         """Zeros follow the data; whoever reads on and on has to ask whether they are being read."""
-        if self.at > 8 * (len(self.data) - 8):
+        if self.at > self.end:
             raise ValueError("the image ends early")
 
     def read(self, n: int) -> int:
@@ -59,8 +60,6 @@ class Code:
             return
         self.single, self.width = None, int(lengths.max())
         size = 1 << self.width
-        if int((size >> lengths[used].astype(np.int64)).sum()) != size:
-            raise ValueError("a prefix code that is not complete")
         self.symbols, self.lengths = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for symbol, length, code in canonical(lengths):
             self.symbols[code :: 1 << length] = symbol
@@ -89,6 +88,8 @@ def canonical(lengths: np.ndarray) -> list[tuple[int, int, int]]:
         before = length
         out.append((symbol, length, int(f"{code:0{length}b}"[::-1], 2)))
         code += 1
+    if code != 1 << before and len(out) > 1:
+        raise ValueError("a prefix code that is not complete")
     return out
 
 
@@ -139,7 +140,6 @@ def read_code(bits: Bits, size: int) -> Code:
     at, before = 0, 8
     while at < size and left:
         left -= 1
-        bits.check()
         s = of_lengths.read(bits)
         if s < 16:
             lengths[at] = s
@@ -152,6 +152,7 @@ def read_code(bits: Bits, size: int) -> Code:
             if s == 16:
                 lengths[at : at + n] = before
             at += n
+    bits.check()
     return Code(lengths)
 
 
