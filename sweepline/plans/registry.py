@@ -6,6 +6,7 @@ from sweepline.plans import building as building
 from sweepline.plans import floors as floors
 from sweepline.plans import gnss as gnss
 from sweepline.plans import maps as maps
+from sweepline.plans import places as places
 from sweepline.plans import poses as poses
 from sweepline.plans import scanner as scanner
 from sweepline.plans import surfaces as surfaces
