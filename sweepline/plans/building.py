@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepline.operators import building
+from sweepline.operators import building, probes
 from sweepline.plans.queries import query, r
 from sweepline.session import table
 
@@ -83,3 +83,30 @@ def wall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("wall"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 0.5 + F.col("l_discount") * 10).alias("hi"))
     m = building.merged_intervals(t, ["wall"], 0.15)
     return m.select("wall", r("lo", 6).alias("lo"), r("hi", 6).alias("hi"))
+
+
+BAND = """p as (select l_linestatus plan, case when l_linenumber <= 3 then l_orderkey % 499 / 100::double else 2.5 + (l_quantity - 25.5) / 1000 end u, case when l_linenumber <= 3 then 1 + (l_quantity - 25.5) / 1000 else l_orderkey % 499 / 100::double end v from lineitem)"""
+#: Parts of a room's height band; cells hold fewer points here than scans have.
+PROBES = probes.Probes(least_cell=20, least=100, elongation=20.0)
+
+
+def band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as two walls of 5 m that cross, 5 cm thick, in each status."""
+    first, along, across = F.col("l_linenumber") <= 3, F.col("l_orderkey") % 499 / 100.0, (F.col("l_quantity") - 25.5) / 1000
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("plan"), F.when(first, along).otherwise(2.5 + across).alias("u"), F.when(first, 1 + across).otherwise(along).alias("v"))
+
+
+@query(f"""with {BAND}, s as (select plan, min(u) - 1.0::double u0, min(v) - 1.0::double v0 from p group by plan), c as (select plan, floor((u - u0) / 0.1::double)::bigint i, floor((v - v0) / 0.1::double)::bigint j, count(*) filled, any_value(u0) u0, any_value(v0) v0 from p join s using (plan) group by 1, 2, 3 having count(*) >= 20),
+ d as (select c.plan, i, j, filled, u - (u0 + (i + 0.5::double) * 0.1::double) du, v - (v0 + (j + 0.5::double) * 0.1::double) dv from c join p using (plan) where du * du + dv * dv <= 0.25),
+ m as (select plan, i, j, filled, count(*) n, covar_pop(du, du) uu, covar_pop(du, dv) uv, covar_pop(dv, dv) vv from d group by all having count(*) >= 100), e as (select *, (uu + vv) / 2 - sqrt(((uu - vv) / 2) ** 2 + uv * uv) l2, (uu + vv) / 2 + sqrt(((uu - vv) / 2) ** 2 + uv * uv) l1 from m)
+ select plan, i, j, filled, n, round(sqrt(l2), 8) sigma from e where l2 > 0 and l1 >= 20 * l2""")
+def probe_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How thick each stretch of wall is, around every well-filled cell."""
+    return probes.thickness(band(spark, sf_dir), "plan", PROBES).select("plan", "i", "j", "filled", "n", r("sigma", 8).alias("sigma"))
+
+
+@query()
+def wall_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve fullest stretches that keep apart; tests compare the choice with a loop over cells."""
+    found = probes.wall_probes(band(spark, sf_dir), "plan", 12, PROBES)
+    return found.select("plan", "place", "i", "j", "filled", r("sigma", 8).alias("sigma"))

@@ -45,7 +45,7 @@ def floor_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions levelled by their floors, through poses that stand still; tests compare tilts and turns with known ones."""
     sessions = tilted(spark, sf_dir).select("session").distinct()
-    ticks = F.explode(F.sequence(F.lit(0), F.lit(4))) * F.lit(8 * SECOND)
+    ticks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32 * SECOND), F.lit(8 * SECOND)))
     pose = dict.fromkeys(("px", "pz", "qx", "qz"), 0.0) | {"py": 1.2, "qy": 0.0, "qw": 1.0, "sigma": 0.01, "confidence": 1.0}
     poses = sessions.select("session", ticks.alias("t")).select("session", "t", *[F.lit(v).alias(k) for k, v in pose.items()], F.lit(2).alias("quality"), F.lit(False).alias("lost"))
     _, report = floors.levelled(tilted(spark, sf_dir), poses, "session", 32 * SECOND)
