@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,21 +82,26 @@ def decode_poses(chunks: DataFrame) -> DataFrame:
 IMU = np.dtype([("gx", "<f4"), ("gy", "<f4"), ("gz", "<f4"), ("ax", "<f4"), ("ay", "<f4"), ("az", "<f4")])
 
 
-def decode_imu(chunks: DataFrame) -> DataFrame:
-    """session, seq and the six fields of each payload of at least 24 bytes."""
+def _imu_rows(chunks: DataFrame, body: Callable[[bytes], bytes | None]) -> DataFrame:
+    """session, seq and the six fields of the sample that ``body`` finds in each payload; payloads in which it finds none give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = IMU.itemsize
-            rows = [(s, n, p[:size]) for s, n, p in zip(*(b.column(c).to_pylist() for c in ("session", "seq", "payload")), strict=True) if p and len(p) >= size]
-            found = np.frombuffer(b"".join(r[2] for r in rows), dtype=IMU)
+            found = [(s, n, body(p or b"")) for s, n, p in zip(*(b.column(c).to_pylist() for c in ("session", "seq", "payload")), strict=True)]
+            rows = [r for r in found if r[2] is not None]
+            fields = np.frombuffer(b"".join(r[2] for r in rows), dtype=IMU)
             arrays = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(found[n].astype("<f8")) for n in IMU.names)], ["session", "seq", *IMU.names])
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(fields[n].astype("<f8")) for n in IMU.names)], ["session", "seq", *IMU.names])
 
     kinds = ", ".join(f"{n} double" for n in IMU.names)
     return chunks.select(F.col("session").cast("string").alias("session"), "seq", "payload").mapInArrow(run, f"session string, seq long, {kinds}")
 
 
+def decode_imu(chunks: DataFrame) -> DataFrame:
+    """session, seq and the six fields of each payload of at least 24 bytes."""
+    return _imu_rows(chunks, lambda p: p[: IMU.itemsize] if len(p) >= IMU.itemsize else None)
+
+
 #: Version, length, time interval, points, counter, frame, data type, time type, 12 reserved bytes, CRC-32, time.
 HEADER = "<BHHHHBBB12sIQ"
 HEADER_SIZE = struct.calcsize(HEADER)
@@ -162,11 +167,13 @@ def decode_datagrams(datagrams: DataFrame) -> DataFrame:
 
 
 def datagram_imu(datagrams: DataFrame) -> DataFrame:
-    """session, seq and the six fields of the good datagrams that hold an IMU sample."""
-    head = F.substring("payload", HEADER_SIZE + 1, IMU.itemsize)
-    good = datagram_states(datagrams).where("state = 'ok' and data_type = 0").select("session", "seq")
-    kept = datagrams.withColumn("session", F.col("session").cast("string")).join(good, ["session", "seq"], "left_semi")
-    return decode_imu(kept.select("session", "seq", head.alias("payload")))
+    """session, seq and the six fields of the good datagrams that hold an IMU sample; each is judged by itself, whatever shares its number."""
+
+    def sample(p: bytes) -> bytes | None:
+        state, head = datagram_head(p)
+        return p[HEADER_SIZE : HEADER_SIZE + IMU.itemsize] if state == "ok" and head[6] == 0 else None
+
+    return _imu_rows(datagrams, sample)
 
 
 def point_times(points: DataFrame, batches: DataFrame, bucket: Column) -> DataFrame:

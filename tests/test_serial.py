@@ -1,10 +1,11 @@
 """Framing over rows of any size: packets of every length in streams cut anywhere."""
 
 import struct
+import zlib
 
 import pytest
 
-from sweepline.sources import rtcm, serial
+from sweepline.sources import packets, rtcm, serial
 
 
 def d6(k, n):
@@ -75,3 +76,13 @@ def test_blocks_hold_no_more_than_their_bytes(spark):
 def test_no_chunks(spark):
     none = spark.createDataFrame([], "session long, seq long, t long, payload binary")
     assert serial.packets(none, "d6").collect() == [] and rtcm.validated(none).collect() == []
+
+
+def test_bad_datagram_beside_a_good_one_of_its_number(spark):
+    def datagram(value, good=True):
+        body = struct.pack("<Q", 5) + struct.pack("<6f", *[value] * 6)
+        return struct.pack("<BHHHHBBB12sI", 0, packets.HEADER_SIZE + 24, 0, 1, 0, 0, 0, 0, b"", zlib.crc32(body) ^ (not good)) + body
+
+    rows = [("a", 1, datagram(1.0)), ("a", 1, datagram(2.0, False)), ("a", 2, None), ("a", 3, datagram(3.0)[:30])]
+    got = packets.datagram_imu(spark.createDataFrame(rows, "session string, seq long, payload binary")).collect()
+    assert [tuple(r) for r in got] == [("a", 1, *[1.0] * 6)]
