@@ -93,7 +93,7 @@ def overlap_survey(points: DataFrame, by: str, size: float) -> DataFrame:
     a, b = (cells.withColumnRenamed(by, c) for c in "ab")
     shared = a.join(b, ["i", "j", "k"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     for c in "ab":
-        shared = shared.join(F.broadcast(sizes.select(F.col(by).alias(c), F.col("n").alias(f"n{c}"))), c)  # one row a session
+        shared = shared.join(sizes.select(F.col(by).alias(c), F.col("n").alias(f"n{c}")), c)  # one row a session, broadcast where Spark finds it small
     return shared.select("a", "b", "shared", (F.col("shared") / F.greatest("na", "nb")).alias("overlap"))
 
 
