@@ -7,10 +7,11 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,13 +80,27 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def release_memory() -> None:
-    """Give the driver's freed memory back to the system: Arrow's pool and the C library keep it otherwise, for good."""
+def release_memory(spark: SparkSession) -> None:
+    """Give the driver's freed memory back to the system, from Python and from the JVM: Arrow's pool and the C library keep it otherwise, for good.
+
+    In the JVM it is what compilers and codecs allocated outside of the heap, hundreds of MB after some thousand
+    stages. Its diagnostic command exists on Linux, from Java 17.0.9 on; without it, the JVM's share stays.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
     if trim is not None:
         trim(0)
+    jvm, array, of = spark._jvm, spark.sparkContext._gateway.new_array, spark._jvm.java.lang.Class.forName
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by the public interface: the server's own class is hidden from Python
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.Object, 0), array(jvm.String, 0)
+    with suppress(Py4JJavaError):
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> SparkSession:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepline.llm.common import discard, written
+from sweepline.llm.common import discard, release_memory, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -61,4 +61,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found, _ = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
     discard(spark, path)
+    # the rounds are some dozens of queries, whose plans and code the driver has compiled
+    release_memory(spark)
     return found

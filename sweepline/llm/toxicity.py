@@ -160,7 +160,13 @@ def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
     ).select("s.*")
     table = sides.groupBy("word").agg(*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in ("seen", "types", "before") for c in CLASSES])
     table = table.withColumn("hash", F.xxhash64("word")).toArrow()
-    of = lambda k: np.array([table.column(f"{c}_{k}").to_numpy() for c in CLASSES], dtype=np.float64)
+    # words are numbered by their hashes, by which bigrams find them: no table of words goes back to Spark
+    hashes = table.column("hash").to_numpy()
+    by_hash = np.argsort(hashes)
+    hashes = hashes[by_hash]
+    if (hashes[1:] == hashes[:-1]).any():
+        raise ValueError("two words share a hash of 64 bits")
+    of = lambda k: np.array([table.column(f"{c}_{k}").to_numpy()[by_hash] for c in CLASSES], dtype=np.float64)
     seen, types, before = (np.hstack([of(k), [[0.0], [0.0]]]) for k in ("seen", "types", "before"))
     total = before.sum(axis=1, keepdims=True)
     if not len(table) or not total.all():
@@ -173,28 +179,26 @@ def kneser_ney(counts: DataFrame, p: Parameters) -> Model | None:
     back_off = np.where(seen > 0, p.discount * types / np.maximum(seen, 1), 1.0).astype(np.float32)
     seen = seen.astype(np.float32)
     del types, before
-    # bigrams find the numbers of their words by hashes, sorted here: no table of words goes back to Spark
-    hashes = table.column("hash").to_numpy()
-    by_hash = np.argsort(hashes)
-    hashes = hashes[by_hash]
-    if (hashes[1:] == hashes[:-1]).any():
-        raise ValueError("two words share a hash of 64 bits")
-    names = "\n".join(table.column("word").to_pylist()).encode()
-    del table
-    # in parts by the word before, so that the driver holds one part beside the arrays that it fills
-    found = []
-    for part in range(PARTS):
-        chosen = counts.where(F.pmod(F.xxhash64("v"), F.lit(PARTS)) == part)
-        rows = chosen.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), *[F.col(c).cast("int").alias(c) for c in CLASSES]).toArrow()
-        key = by_hash[np.searchsorted(hashes, rows.column("v").to_numpy())] * n
-        key += by_hash[np.searchsorted(hashes, rows.column("w").to_numpy())]
-        found.append((key, *(rows.column(c).to_numpy() for c in CLASSES)))
-        del rows, key
-    keys = np.concatenate([f[0] for f in found])
-    discovered = np.stack([np.concatenate([f[i] for f in found]) for i in (1, 2)])
-    del found
-    order = np.argsort(keys)
-    return Model(names, lower, seen, back_off, keys[order], discovered[:, order], p)
+    names = "\n".join(table.column("word").take(pa.array(by_hash)).to_pylist()).encode()
+    del table, by_hash
+    # in parts by the hash of the word before, hence in the order of the keys: beside the arrays that it fills,
+    # the driver holds one part
+    bounds = [-(2**63) + i * 2**64 // PARTS for i in range(PARTS)]
+    part = sum((F.col("v") >= F.lit(low)).cast("int") for low in bounds[1:])
+    rows = counts.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), *[F.col(c).cast("int").alias(c) for c in CLASSES])
+    size = counts.count()
+    keys, discovered, end = np.empty(size, np.int64), np.empty((2, size), np.int32), 0
+    for i in range(PARTS):
+        found = rows.where(part == i).toArrow()
+        key = np.searchsorted(hashes, found.column("v").to_numpy()) * n
+        key += np.searchsorted(hashes, found.column("w").to_numpy())
+        order = np.argsort(key)
+        at, end = end, end + len(key)
+        keys[at:end] = key[order]
+        for own, c in zip(discovered, CLASSES, strict=True):
+            own[at:end] = found.column(c).to_numpy()[order]
+        del found, key, order
+    return Model(names, lower, seen, back_off, keys, discovered, p)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[float, ...]:
@@ -214,13 +218,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Fit
     sample = labelled_sample(docs, labels, p)
     logistic = fold_of(F.col("doc_id"), p.folds) == p.logistic_fold
     counts, path = written(bigram_counts(sample.where(~logistic)), "toxicity-bigrams")
+    release_memory(docs.sparkSession)
     model = kneser_ney(counts, p)
     discard(docs.sparkSession, path)
     if model is None:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     del model
-    release_memory()
+    release_memory(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
