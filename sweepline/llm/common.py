@@ -84,9 +84,11 @@ def release_memory(spark: SparkSession) -> None:
     """Give the driver's freed memory back to the system, from Python and from the JVM: Arrow's pool and the C library keep it otherwise, for good.
 
     In the JVM it is what compilers and codecs allocated outside of the heap, hundreds of MB after some thousand
-    stages. Its diagnostic command exists on Linux, from Java 17.0.9 on; without it, the JVM's share stays.
+    stages. Its diagnostic command exists on Linux, from Java 17.0.9 on; without it, the JVM's share stays. Spark
+    deletes shuffle files and broadcasts of queries that nothing holds any more once the JVM has collected them.
     """
     gc.collect()
+    spark._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
     if trim is not None:

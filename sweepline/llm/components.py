@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     end in RuntimeError.
     """
     spark = edges.sparkSession
+    release_memory(spark)  # what led to the edges is written, so its shuffles can go
     a, b = edges.columns
     now = (
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
