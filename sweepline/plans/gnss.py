@@ -213,10 +213,12 @@ def phone_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phone's places as sentences."""
     k = F.col("c_custkey")
     minutes = lambda c: F.round((F.abs(c) - F.floor(F.abs(c))) * 60, 4)
+    height = F.round("h", 1)
+    signed = F.when((height == 0) & (F.col("h") < 0), -0.0).otherwise(height)  # a height just below 0 keeps its sign, as printf has it
     said = F.format_string(
         "GPGGA,%02d%02d%02d.00,%02d%07.4f,%s,%03d%07.4f,%s,1,08,1.0,%.1f,M,0.0,M,,",
         k % 24, k % 60, k % 60, F.floor(F.abs("lat")), minutes(F.col("lat")), F.when(F.col("lat") < 0, "S").otherwise("N"),
-        F.floor(F.abs("lon")), minutes(F.col("lon")), F.when(F.col("lon") < 0, "W").otherwise("E"), F.round("h", 1),
+        F.floor(F.abs("lon")), minutes(F.col("lon")), F.when(F.col("lon") < 0, "W").otherwise("E"), signed,
     )
     return geo(spark, sf_dir).select("c_custkey", said.alias("body")).select("c_custkey", nmea.framed(F.col("body")).alias("line"))
 

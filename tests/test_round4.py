@@ -39,3 +39,9 @@ def test_motion_gate_with_equal_times_and_nulls(against_sql):
     assert got == want
     assert {r[0]: r[5] for r in got} == {0: float("inf"), 1: float("inf"), 2: 0.666667, 3: None, 4: None}
     assert {r[0]: r[4] for r in got}[3] is False
+
+
+def test_phone_burst_keeps_the_sign_of_small_heights(against_sql):
+    got, want = against_sql("phone_burst", "customer", "select * replace (case c_custkey % 3 when 0 then -0.3 when 1 then 0.3 else -0.5 end as c_acctbal) from '{t}' where c_custkey < 30")
+    assert got == want
+    assert sum(",-0.0,M," in line for _, line in got) == 10
