@@ -332,8 +332,13 @@ def hold_of(q: geometry.Quaternion, sensor_degrees: Column | float = 90.0) -> Co
     how far it is from flat. The bearing's quadrant is the orientation; a device too flat to be sure counts as portrait.
     """
     half = F.radians(F.coalesce(F.lit(sensor_degrees) if isinstance(sensor_degrees, float) else sensor_degrees.cast("double"), F.lit(90.0))) / 2
-    mounted = (F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
-    up = geometry.rotated(geometry.conjugate(mounted), *geometry.rotated(geometry.conjugate(q), F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    given = F.struct(*[c.alias(k) for c, k in zip(q, Q, strict=True)], F.sin(half).alias("mz"), F.cos(half).alias("mw"))
+    vector = lambda v: F.struct(*[c.alias(k) for c, k in zip(v, "xyz", strict=True)])
+
+    # each turn is one value for the next: written out inside each other they are an expression of some 10^5 terms
+    def turned(g: Column) -> Column:
+        camera = geometry.rotated(geometry.conjugate(tuple(g[c] for c in Q)), F.lit(0.0), F.lit(1.0), F.lit(0.0))  # type: ignore[arg-type]
+        return geometry.let(vector(camera), lambda v: vector(geometry.rotated((F.lit(0.0), F.lit(0.0), -g["mz"], g["mw"]), v["x"], v["y"], v["z"])))
 
     def read(u: Column) -> Column:
         flat = F.sqrt(u["x"] * u["x"] + u["y"] * u["y"])
@@ -346,4 +351,4 @@ def hold_of(q: geometry.Quaternion, sensor_degrees: Column | float = 90.0) -> Co
         )
         return F.struct(way.alias("orientation"), angle.alias("angle"), F.degrees(F.atan2(u["z"], flat)).alias("pitch"), F.degrees(F.atan2(flat, F.abs(u["z"]))).alias("tilt"), sure.alias("confident"))
 
-    return geometry.let(F.struct(*[c.alias(k) for c, k in zip(up, "xyz", strict=True)]), read)
+    return geometry.let(geometry.let(given, turned), read)

@@ -54,3 +54,9 @@ def test_parallax_watch_on_the_threshold(against_sql):
     got, want = against_sql("parallax_watch", "events", rows)
     assert got == want
     assert sum(turned == 30.0 and starved for _, _, turned, starved in got) >= 30
+
+
+def test_holds_are_written_out_once(spark):
+    """The plan of a hold grows with its steps, not with their product."""
+    df = registry.QUERIES["hold_orientation"](spark, SF)
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 100_000
