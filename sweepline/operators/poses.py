@@ -335,7 +335,7 @@ def hold_of(q: geometry.Quaternion, sensor_degrees: Column | float = 90.0) -> Co
     given = F.struct(*[c.alias(k) for c, k in zip(q, Q, strict=True)], F.sin(half).alias("mz"), F.cos(half).alias("mw"))
     vector = lambda v: F.struct(*[c.alias(k) for c, k in zip(v, "xyz", strict=True)])
 
-    # each turn is one value for the next: written out inside each other they are an expression of some 10^5 terms
+    # each turn is one value for the next: written out inside each other they fill 390,000 characters
     def turned(g: Column) -> Column:
         camera = geometry.rotated(geometry.conjugate(tuple(g[c] for c in Q)), F.lit(0.0), F.lit(1.0), F.lit(0.0))  # type: ignore[arg-type]
         return geometry.let(vector(camera), lambda v: vector(geometry.rotated((F.lit(0.0), F.lit(0.0), -g["mz"], g["mw"]), v["x"], v["y"], v["z"])))

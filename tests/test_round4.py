@@ -60,3 +60,18 @@ def test_holds_are_written_out_once(spark):
     """The plan of a hold grows with its steps, not with their product."""
     df = registry.QUERIES["hold_orientation"](spark, SF)
     assert len(df._jdf.queryExecution().analyzed().toString()) < 100_000
+
+
+def test_survey_by_tiles_and_blocks(spark):
+    """More sessions than a tile holds, voxels on both sides of 0, one session that shares with none."""
+    import numpy as np
+    from sweepline.operators import fits
+
+    r = np.random.default_rng(3)
+    rows = [(int(s), *map(float, r.uniform(-12, 12, 3).round(3))) for s in range(40) for _ in range(int(r.integers(1, 60)))] + [(99, 500.0, 500.0, 500.0)]
+    cells = {}
+    for s, *p in rows:
+        cells.setdefault(s, set()).add(tuple(int(np.floor(v)) for v in p))
+    want = {(a, b): (len(cells[a] & cells[b]), len(cells[a] & cells[b]) / max(len(cells[a]), len(cells[b]))) for a in cells for b in cells if a < b and cells[a] & cells[b]}
+    found = fits.overlap_survey(spark.createDataFrame(rows, "s long, x double, y double, z double"), "s", 1.0, tile=7)
+    assert {(x.a, x.b): (x.shared, x.overlap) for x in found.collect()} == want
