@@ -127,9 +127,8 @@ def ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {RING}, p as (select c_custkey, c_nationkey ring, (c_custkey % 100) + 0.5::double x, (c_custkey * 7 % 110 - 10) + 0.25::double y from customer)
  select c_custkey, (select count(*) from e where e.ring = p.ring and (e.y > p.y) <> (e.y2 > p.y) and p.x < (e.x2 - e.x) * (p.y - e.y) / (e.y2 - e.y) + e.x) % 2 = 1 inside from p where ring in (select ring from v)""")
 def points_in_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = rings(spark, sf_dir).groupBy("ring").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "x", "y"))).alias("v"))
     p = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("ring"), (F.col("c_custkey") % 100 + 0.5).alias("x"), (F.col("c_custkey") * 7 % 110 - 10 + 0.25).alias("y"))
-    return p.join(ring, "ring").select("c_custkey", fits.inside_ring(F.col("v"), F.col("x"), F.col("y")).alias("inside"))
+    return fits.inside_rings(p, rings(spark, sf_dir), "ring", ["s_suppkey"]).select("c_custkey", "inside")
 
 
 @query("""with w as (select o_orderkey wall, 0.0::double lo, 60.0::double hi from orders), o as (select l_orderkey wall, min(l_quantity) lo, min(l_quantity) + 3 hi from lineitem group by l_orderkey, l_linenumber), g as (select wall, lo, hi, max(hi) over (partition by wall order by lo, hi rows between unbounded preceding and 1 preceding) reach from o),

@@ -75,3 +75,19 @@ def test_survey_by_tiles_and_blocks(spark):
     want = {(a, b): (len(cells[a] & cells[b]), len(cells[a] & cells[b]) / max(len(cells[a]), len(cells[b]))) for a in cells for b in cells if a < b and cells[a] & cells[b]}
     found = fits.overlap_survey(spark.createDataFrame(rows, "s long, x double, y double, z double"), "s", 1.0, tile=7)
     assert {(x.a, x.b): (x.shared, x.overlap) for x in found.collect()} == want
+
+
+def test_points_in_rings_by_bands(spark, against_sql):
+    """Flat rings, edges of one height, points on the heights of vertices; the plan has no list of a ring."""
+    from sweepline.operators import fits
+
+    ring = [(1, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (10, 0), (10, 7), (6, 7), (6, 3), (3, 9), (0, 9)])] + [(2, 0, 0.0, 1.0), (2, 1, 5.0, 1.0)]
+    asked = [(g, x / 2, y / 2) for g in (1, 2, 3) for x in range(-2, 24) for y in range(-2, 22)] * 2
+    of = {g: [(x, y) for h, _, x, y in ring if h == g] for g in (1, 2)}
+
+    def inside(g, x, y):
+        v = of[g]
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(v, v[1:] + v[:1], strict=True)) % 2 == 1
+
+    found = fits.inside_rings(spark.createDataFrame(asked, "g long, x double, y double"), spark.createDataFrame(ring, "g long, k long, x double, y double"), "g", ["k"], bands=4)
+    assert sorted((p.g, p.x, p.y, p.inside) for p in found.collect()) == sorted((g, x, y, inside(g, x, y)) for g, x, y in asked if g < 3)
