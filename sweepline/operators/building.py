@@ -148,11 +148,14 @@ def _long_enough(cells: DataFrame, lines: DataFrame, by: str, p: Walls) -> tuple
 
 def collinear(lines: DataFrame, by: str, p: Walls = Walls()) -> DataFrame:
     """by, a, b: pairs of lines that agree in heading and, each seen from the other, in offset."""
-    a, b = lines.alias("a"), lines.alias("b")
-    turn = folded(F.atan2("a.dy", "a.dx") - F.atan2("b.dy", "b.dx"), pi)
+    # headings are taken once a line, and offsets are asked first: both ends of a pair are many
+    own = lines.select(by, "line", "px", "py", "dx", "dy", F.atan2("dy", "dx").alias("h"))
+    a, b = own.alias("a"), own.alias("b")
+    turn = F.col("a.h") - F.col("b.h")
+    turn = turn - pi * F.rint(turn / pi)
     gap = lambda o: F.abs(_cross(F.col(f"{o}.dx"), F.col(f"{o}.dy"), F.col("b.px") - F.col("a.px"), F.col("b.py") - F.col("a.py")))
-    near = (F.abs(turn) <= np.radians(p.collinear_angle)) & (gap("a") <= p.collinear_offset) & (gap("b") <= p.collinear_offset)
-    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.line") < F.col("b.line")) & near).select(f"a.{by}", F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+    near = (gap("a") <= p.collinear_offset) & (gap("b") <= p.collinear_offset) & (F.abs(turn) <= np.radians(p.collinear_angle))
+    return a.join(b.hint("merge"), (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.line") < F.col("b.line")) & near).select(f"a.{by}", F.col("a.line").alias("a"), F.col("b.line").alias("b"))
 
 
 def dominant_angle(lines: DataFrame, by: str, p: Walls = Walls()) -> DataFrame:

@@ -91,3 +91,8 @@ def test_points_in_rings_by_bands(spark, against_sql):
 
     found = fits.inside_rings(spark.createDataFrame(asked, "g long, x double, y double"), spark.createDataFrame(ring, "g long, k long, x double, y double"), "g", ["k"], bands=4)
     assert sorted((p.g, p.x, p.y, p.inside) for p in found.collect()) == sorted((g, x, y, inside(g, x, y)) for g, x, y in asked if g < 3)
+
+
+def test_collinear_lines_take_headings_once_a_line(spark):
+    plan = registry.QUERIES["collinear_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [step for step in plan.splitlines() if "Join" in step and "ATAN2" in step.upper()]
