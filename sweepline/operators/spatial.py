@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,16 +88,95 @@ def coverage_compass(points: DataFrame, x0: float, y0: float, sectors: int = 12,
     return full.select("sector", "n", (F.col("n") < thin * mean).alias("thin"))
 
 
-def neighbours(queries: DataFrame, targets: DataFrame, radius: float, order: Sequence[str]) -> DataFrame:
-    """All (query, target) pairs within a radius: cells of that size, and the 27 around each query.
+def _leaves(p: np.ndarray, most: int = 64) -> list[np.ndarray]:
+    """The places of p (n, 3) in boxes of at most ``most`` points, halved along the longest side."""
+    out, due = [], [np.arange(len(p))] if len(p) else []
+    while due:
+        k = due.pop()
+        if len(k) <= most:
+            out.append(k)
+            continue
+        half, axis = len(k) // 2, int(np.ptp(p[k], axis=0).argmax())
+        k = k[np.argpartition(p[k, axis], half)]
+        due += [k[:half], k[half:]]
+    return out
+
+
+def _squares(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    d = [t[None, :, a] - q[:, None, a] for a in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def near_boxes(q: np.ndarray, t: np.ndarray, radius: float, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of queries, box by box, and those of all targets that can be within the radius of one; with k, among its k nearest."""
+    boxes = _leaves(t) if len(q) else []
+    low, high = (np.array([f(t[b], axis=0) for b in boxes]) for f in (np.min, np.max))
+    for mine in _leaves(q) if boxes else []:
+        gap = np.maximum(0.0, np.maximum(low - q[mine].max(axis=0), q[mine].min(axis=0) - high))
+        apart = (gap * gap).sum(axis=1) * (1 - 1e-9)  # so that rounding leaves no box out
+        close = np.flatnonzero(apart <= radius * radius)
+        if k is not None and len(close):
+            close = close[np.argsort(apart[close])]
+            few = close[: int(np.searchsorted(np.cumsum([len(boxes[b]) for b in close]), 4 * k)) + 1]
+            d2 = _squares(q[mine], t[np.concatenate([boxes[b] for b in few])])
+            if d2.shape[1] >= k:
+                close = close[apart[close] <= np.partition(d2, k - 1, axis=1)[:, k - 1].max()]
+        if len(close):
+            yield mine, np.concatenate([boxes[b] for b in close])
+
+
+def nearest(q: np.ndarray, t: np.ndarray, radius: float, k: int, order: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Query, target, rank (from 1) and squared distance of the k nearest targets within the radius, equal ones by ``order``."""
+    found = [(np.zeros(0, int),) * 3 + (np.zeros(0),)]
+    for mine, other in near_boxes(q, t, radius, k):
+        d2 = _squares(q[mine], t[other])
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(mine), np.inf)
+        row, col = np.nonzero((d2 <= last[:, None]) & (d2 <= radius * radius))
+        d2 = d2[row, col]
+        by = np.lexsort((order[other[col]], d2, row))
+        row, col, d2 = row[by], col[by], d2[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        kept = rank <= k
+        found.append((mine[row[kept]], other[col[kept]], rank[kept], d2[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def around_blocks(queries: DataFrame, targets: DataFrame, radius: float, by: Sequence[str], run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(queries, targets) for each block of space, two radii wide: its own queries, and the targets in it or within the radius of it.
+
+    A target travels once for each block it can matter to, at most eight; pairs stay inside the groups. Rows with a null or
+    NaN coordinate, or a null in ``by``, go.
+    """
+    width, reach = 2.0 * radius, radius * (1 + 1e-9)
+    whole = " and ".join([f"{a} is not null and not isnan({a})" for a in "xyz"] + [f"{c} is not null" for c in by])
+    own = queries.where(whole).withColumns({c: F.floor(F.col(a) / width).cast("long") for c, a in zip(CELL, "xyz", strict=True)})
+    met = targets.where(whole)
+    for c, a in zip(CELL, "xyz", strict=True):
+        met = met.withColumn(c, F.explode(F.sequence(*[F.floor((F.col(a) + s * reach) / width).cast("long") for s in (-1, 1)])))
+    both = own.withColumn("_asks", F.lit(True)).unionByName(met.withColumn("_asks", F.lit(False)), True)
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        return run(group[group["_asks"]], group[~group["_asks"]])
+
+    return both.groupBy(*by, *CELL).applyInPandas(each, schema)
+
+
+def knn(queries: DataFrame, targets: DataFrame, radius: float, k: int, order: Sequence[str]) -> DataFrame:
+    """The k nearest targets of each query within the radius, ties in ``order``; column rank from 1.
 
-    queries: (q, x, y, z). targets: order columns, x, y, z. Result: q, d2, the order columns.
+    queries: (q, x, y, z), one row a q. targets: order columns, x, y, z. Result: q, d2, the order columns, rank.
     """
-    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for s, c in zip(d, CELL, strict=True)]) for d in product((-1, 0, 1), repeat=3)])
-    around = with_cells(queries, radius).withColumn("s", F.explode(shifts))
-    around = around.select("q", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in CELL])
-    d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in ("y", "z")), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    return around.join(with_cells(targets, radius), list(CELL)).select("q", d2.alias("d2"), *order).where(F.col("d2") <= radius * radius)
+    kinds = {"q": queries.schema["q"].dataType.simpleString()} | {f"t_{c}": targets.schema[c].dataType.simpleString() for c in order}
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values([f"t_{c}" for c in order], kind="stable")
+        a, b, rank, d2 = nearest(*(d[["x", "y", "z"]].to_numpy(dtype=float) for d in (q, t)), radius, k, np.arange(len(t)))
+        return pd.DataFrame({"q": q["q"].to_numpy()[a], "d2": d2, **{c: t[c].to_numpy()[b] for c in list(kinds)[1:]}, "rank": rank.astype(np.int32)})
+
+    schema = f"q {kinds['q']}, d2 double, " + ", ".join(f"{c} {v}" for c, v in list(kinds.items())[1:]) + ", rank int"
+    sent = targets.select("x", "y", "z", *[F.col(c).alias(f"t_{c}") for c in order])
+    found = around_blocks(queries.select("q", "x", "y", "z"), sent, radius, [], run, schema)
+    return found.select("q", "d2", *[F.col(f"t_{c}").alias(c) for c in order], "rank")
 
 
 def neighbour_places(points: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -108,12 +189,6 @@ def neighbour_places(points: DataFrame, radius: float, by: Sequence[str] = ()) -
     return around.join(targets, [*by, *CELL]).drop(*CELL).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def knn(queries: DataFrame, targets: DataFrame, radius: float, k: int, order: Sequence[str]) -> DataFrame:
-    """The k nearest targets of each query, ties in ``order``; column rank from 1."""
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", *order))
-    return neighbours(queries, targets, radius, order).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def outlier_filter(points: DataFrame, radius: float, k: int = 8, least: int = 3, sigmas: float = 1.5) -> DataFrame:
     """id, found, mean_d and status of each point (id, x, y, z): isolated, outlier or kept.
 
