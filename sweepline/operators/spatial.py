@@ -179,16 +179,6 @@ def knn(queries: DataFrame, targets: DataFrame, radius: float, k: int, order: Se
     return found.select("q", "d2", *[F.col(f"t_{c}").alias(c) for c in order], "rank")
 
 
-def neighbour_places(points: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
-    """by, id, target, d2 and both places (q.., t..) of all pairs of points of a group within a radius, each point with itself too."""
-    at = with_cells(points.select(*by, "id", "x", "y", "z"), radius)
-    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for s, c in zip(d, CELL, strict=True)]) for d in product((-1, 0, 1), repeat=3)])
-    around = at.withColumn("s", F.explode(shifts)).select(*by, "id", *[F.col(a).alias(f"q{a}") for a in ("x", "y", "z")], *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in CELL])
-    targets = at.select(*by, *CELL, F.col("id").alias("target"), *[F.col(a).alias(f"t{a}") for a in ("x", "y", "z")])
-    d2 = sum(((F.col(f"t{a}") - F.col(f"q{a}")) * (F.col(f"t{a}") - F.col(f"q{a}")) for a in ("y", "z")), (F.col("tx") - F.col("qx")) * (F.col("tx") - F.col("qx")))
-    return around.join(targets, [*by, *CELL]).drop(*CELL).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-
-
 def outlier_filter(points: DataFrame, radius: float, k: int = 8, least: int = 3, sigmas: float = 1.5) -> DataFrame:
     """id, found, mean_d and status of each point (id, x, y, z): isolated, outlier or kept.
 

@@ -6,9 +6,11 @@ same for any order and any partitions of the points. A sum holds over a hundred
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,9 +233,43 @@ def consistency_report(points: DataFrame, by: Sequence[str], p: Consistency = Co
 # ---- normals ---------------------------------------------------------------------------------------------------
 
 
-def _around(pairs: DataFrame, radius: float) -> DataFrame:
-    """Pairs of neighbours with the target's place beside the query, in radii."""
-    return pairs.withColumns({f"u{a}": (F.col(f"t{a}") - F.col(f"q{a}")) / radius for a in AXES})
+def neighbour_moments(points: DataFrame, radius: float, by: Sequence[str] = (), k: int | None = None) -> DataFrame:
+    """moments() of each point's neighbours within the radius (of a group; with k, of the k nearest), itself included; units are of the radius.
+
+    points: by, id, x, y, z, one row an id. Sums are taken inside blocks of space, so no pair is shuffled.
+    """
+    keys = {c: points.schema[c].dataType.simpleString() for c in (*by, "id")}
+    names = [f"s{a}" for a in AXES] + [f"s{a}{b}" for a, b in PAIRS]
+
+    def sums(q: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Places of queries, the numbers of their neighbours in a part of the targets, and the parts of their sums."""
+        for mine, other in spatial.near_boxes(q, t, radius):
+            for n in range(0, len(other), 4096):  # products stay exact in doubles
+                part = t[other[n : n + 4096]]
+                d = [part[None, :, a] - q[mine][:, None, a] for a in range(3)]
+                inside = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= radius * radius
+                u = [np.floor(c / radius * UNIT) * inside for c in d]
+                yield mine, inside.sum(axis=1), [c.sum(axis=1) for c in u] + [np.einsum("ij,ij->i", u[AXES.index(a)], u[AXES.index(b)]) for a, b in PAIRS]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        at, to = (d[list(AXES)].to_numpy(dtype=float) for d in (q, t))
+        total = np.zeros((1 + len(names), len(q)), dtype=np.int64)
+        if k is None:
+            for mine, n, parts in sums(at, to):
+                total[0, mine] += n
+                for row, part in zip(total[1:], parts, strict=True):
+                    row[mine] += part.astype(np.int64)
+        else:
+            a, b, _, _ = spatial.nearest(at, to, radius, k, np.argsort(np.argsort(t["id"].to_numpy(), kind="stable"), kind="stable"))
+            u = np.floor((to[b] - at[a]) / radius * UNIT).astype(np.int64)
+            parts = [np.ones(len(a), dtype=np.int64), *u.T, *[u[:, AXES.index(x)] * u[:, AXES.index(y)] for x, y in PAIRS]]
+            for row, part in zip(total, parts, strict=True):
+                np.add.at(row, a, part)
+        return pd.DataFrame({**{c: q[c].to_numpy() for c in keys}, **dict(zip(["n", *names], total, strict=True))})
+
+    schema = ", ".join(f"{c} {v}" for c, v in keys.items()) + "".join(f", {c} long" for c in ["n", *names])
+    rows = points.select(*keys, *AXES)
+    return spatial.around_blocks(rows, rows, radius, by, run, schema)
 
 
 def normals(points: DataFrame, radius: float = 0.15, least: int = 6, clear: float = 0.0) -> DataFrame:
@@ -241,8 +277,7 @@ def normals(points: DataFrame, radius: float = 0.15, least: int = 6, clear: floa
 
     It is null with fewer than ``least`` neighbours, and where the two smaller eigenvalues are closer than ``clear`` of the largest.
     """
-    near = _around(spatial.neighbour_places(points, radius), radius)
-    planes = with_planes(moments(near, ["id"]))
+    planes = with_planes(neighbour_moments(points, radius))
     enough = (F.col("n") >= least) & (F.col("e2") - F.col("e1") > clear * F.col("e3"))
     return planes.select("id", F.col("n").alias("found"), *[F.when(enough, F.col(f"n{a}")).alias(f"n{a}") for a in AXES])
 
@@ -254,10 +289,7 @@ def normal_coverage(points: DataFrame, by: Sequence[str], radius: float, k: int
     ``thin`` of the next. Coverage is the smallest by the largest eigenvalue of the sum of n n': near 0, something can
     slide along the weak direction unseen. It is 0 with too few points or planes.
     """
-    near = spatial.neighbour_places(points, radius, by)
-    rank = F.row_number().over(Window.partitionBy(*by, "id").orderBy("d2", "target"))
-    near = _around(near.withColumn("_r", rank).where(F.col("_r") <= k), radius)
-    planes = with_planes(moments(near, [*by, "id"])).where((F.col("n") >= least) & (F.col("e2") > 1e-12) & (F.col("e1") <= thin * F.col("e2")) & F.col("nx").isNotNull())
+    planes = with_planes(neighbour_moments(points, radius, by, k)).where((F.col("n") >= least) & (F.col("e2") > 1e-12) & (F.col("e1") <= thin * F.col("e2")) & F.col("nx").isNotNull())
     fine = float(1 << 30)
     sums = [F.sum(F.floor(F.col(f"n{a}") * F.col(f"n{b}") * fine).cast("long")).alias(f"c{a}{b}") for a, b in PAIRS]
     spread = with_eigen(planes.groupBy(*by).agg(F.count("*").alias("planes"), *sums))

@@ -98,7 +98,7 @@ def test_collinear_lines_take_headings_once_a_line(spark):
     assert not [step for step in plan.splitlines() if "Join" in step and "ATAN2" in step.upper()]
 
 
-@pytest.mark.parametrize("name", ["knn_topk", "outlier_filter", "mean_nearest"])
+@pytest.mark.parametrize("name", ["knn_topk", "outlier_filter", "mean_nearest", "normal_coverage", "point_normals"])
 def test_neighbours_are_found_inside_blocks(spark, name):
     """No join or window holds pairs of points, so none is shuffled or sent to the driver."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
@@ -110,7 +110,7 @@ def test_neighbours_are_found_inside_blocks(spark, name):
 def test_nearest_against_brute_force(spark):
     """Points on a lattice, so that many distances are equal, on both sides of 0, more than a box holds, copies at one place."""
     import numpy as np
-    from sweepline.operators import spatial
+    from sweepline.operators import spatial, surfaces
 
     r = np.random.default_rng(5)
     p = np.concatenate([r.integers(-6, 6, (400, 3)) / 8.0, np.zeros((30, 3))])
@@ -118,11 +118,14 @@ def test_nearest_against_brute_force(spark):
     df = spark.createDataFrame([*rows, (1000, None, 0.0, 0.0), (1001, float("nan"), 0.0, 0.0), (1002, 90.0, 90.0, 90.0)], "id long, x double, y double, z double")
     rows.append((1002, 90.0, 90.0, 90.0))
     ids, at = np.array([x[0] for x in rows]), np.array([x[1:] for x in rows])
-    want = set()
+    want, moments = set(), {}
     for q, place in zip(ids, at, strict=True):
         d = at - place
         d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
         near = [k for k in np.lexsort((ids, d2)) if d2[k] <= 0.25 * 0.25]
         want |= {(int(q), int(ids[k]), n, float(d2[k])) for n, k in enumerate(near[:9], 1)}
+        u = np.floor(d[near] / 0.25 * surfaces.UNIT).astype(int)
+        moments[int(q)] = (len(near), int(u[:, 0].sum()), int((u[:, 1] * u[:, 2]).sum()))
     found = spatial.knn(df.withColumnRenamed("id", "q"), df, 0.25, 9, ["id"])
     assert {(x.q, x.id, x["rank"], x.d2) for x in found.collect()} == want
+    assert {x.id: (x.n, x.sx, x.syz) for x in surfaces.neighbour_moments(df, 0.25).collect()} == moments
