@@ -89,8 +89,8 @@ FORMS: dict[str, tuple[Callable, str, int, str]] = {
 }
 
 
-#: Bytes of a block.
-BLOCK = 1 << 16
+#: Bytes of a block, and packets that go out together.
+BLOCK, FOUND = 1 << 16, 4096
 
 
 def blocks(chunks: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
@@ -120,18 +120,27 @@ def searched(chunks: DataFrame, find: Callable, fields: str, most: int, good: st
     names = [f.strip().split(" ")[0] for f in re.sub(r"<.*>", "", fields).split(",")]
     columns = ["session", "seq", "t", "at", "whole", *names]
 
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        values = list(zip(*found, strict=True)) if found else [[]] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in zip(columns, values, strict=True)], columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch holds thousands of blocks, which as Python values take many times their bytes: one block is taken at a time
         for b in batches:
-            found = []
-            for session, number, pieces in zip(*(b.column(c).to_pylist() for c in ("session", "block", "pieces")), strict=True):
+            found, listed = [], 0
+            for row in range(len(b)):
+                session, number, pieces = (b.column(c)[row].as_py() for c in ("session", "block", "pieces"))
                 bases, start = [p["base"] for p in pieces], number * block
                 for place, *rest in find(b"".join(p["bytes"] for p in pieces), (number + 1) * block - bases[0]):
                     at = bases[0] + place
                     if at >= start:
                         p = pieces[bisect_right(bases, at) - 1]
                         found.append((session, p["seq"], p["t"], at, *rest))
-            values = list(zip(*found, strict=True)) if found else [[]] * len(columns)
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in zip(columns, values, strict=True)], columns)
+                if len(found) >= FOUND:
+                    yield made(found)
+                    found, listed = [], listed + 1
+            if found or not listed:
+                yield made(found)
 
     found = blocks(chunks, most, block).mapInArrow(run, f"session long, seq long, t long, at long, whole long, {fields}")
     alone = with_running(found, ["session"], ["at"], {}, F.expr("at div 1000000"), {"_end": F.when(F.col(good), F.col("at") + F.col("whole"))})

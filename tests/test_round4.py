@@ -129,3 +129,18 @@ def test_nearest_against_brute_force(spark):
     found = spatial.knn(df.withColumnRenamed("id", "q"), df, 0.25, 9, ["id"])
     assert {(x.q, x.id, x["rank"], x.d2) for x in found.collect()} == want
     assert {x.id: (x.n, x.sx, x.syz) for x in surfaces.neighbour_moments(df, 0.25).collect()} == moments
+
+
+def test_one_block_of_a_batch_is_unpacked_at_a_time(spark):
+    import pyarrow as pa
+    from sweepline.sources import serial
+
+    def find(data, own):
+        import gc
+
+        unpacked = [o for o in gc.get_objects() if type(o) is list and o and type(o[0]) is dict and "base" in o[0]]
+        return [(0, len(data), True, len(unpacked))]
+
+    chunks = spark.createDataFrame([(s, 0, 0, b"abc") for s in range(300)], "session long, seq long, t long, payload binary").coalesce(1)
+    found = serial.searched(chunks, find, "ok boolean, unpacked long", 8, "ok", {"ok": pa.bool_()}).collect()
+    assert len(found) == 300 and max(x.unpacked for x in found) == 1
