@@ -57,12 +57,19 @@ def d6_packets(data: bytes, own: int) -> list[tuple]:
     return out
 
 
+def _crc8_of(byte: int) -> int:
+    for _ in range(8):
+        byte = (byte << 1 ^ CRC8_POLYNOMIAL if byte & 0x80 else byte << 1) & 0xFF
+    return byte
+
+
+CRC8_TABLE = bytes(map(_crc8_of, range(256)))
+
+
 def crc8(data: bytes) -> int:
     c = 0
     for b in data:
-        c ^= b
-        for _ in range(8):
-            c = (c << 1 ^ CRC8_POLYNOMIAL if c & 0x80 else c << 1) & 0xFF
+        c = CRC8_TABLE[c ^ b]
     return c
 
 

@@ -144,3 +144,17 @@ def test_one_block_of_a_batch_is_unpacked_at_a_time(spark):
     chunks = spark.createDataFrame([(s, 0, 0, b"abc") for s in range(300)], "session long, seq long, t long, payload binary").coalesce(1)
     found = serial.searched(chunks, find, "ok boolean, unpacked long", 8, "ok", {"ok": pa.bool_()}).collect()
     assert len(found) == 300 and max(x.unpacked for x in found) == 1
+
+
+def test_stl_checks_by_table():
+    from sweepline.plans import scanner
+    from sweepline.sources import serial
+
+    for byte in range(256):
+        c = byte
+        for _ in range(8):
+            c = (c << 1 ^ 0x4D if c & 0x80 else c << 1) & 0xFF
+        assert serial.CRC8_TABLE[byte] == c
+    for k in range(50):
+        p = scanner.stl_packet(k)[k % 3 :]
+        assert (serial.crc8(p[:-1]) == p[-1]) == (k % 9 > 0)
